@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 
@@ -71,3 +72,10 @@ def free_name(taken: Iterable[str], stem: str) -> str:
     while stem.lower() in low:
         stem = "_" + stem
     return stem
+
+
+def map_rows(docs: DataFrame, run, extra: list[T.StructField] | None = None) -> DataFrame:
+    """docs.mapInArrow(run) for a run that passes all columns on, whatever their names, and may add some."""
+    fields = [T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(docs.schema.fields)]
+    out = docs.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, *(extra or [])]))
+    return out.toDF(*docs.columns, *[f.name for f in extra or []])

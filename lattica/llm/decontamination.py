@@ -206,7 +206,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """docs without contaminated documents; with cut, these stay without their removal spans instead."""
     spark = docs.sparkSession
     common.ship(spark)
-    schema, at = docs.schema, docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def emit(w, part, total, spans, found):
         n_hit = np.array([sum(s[2] for s in x) for x in spans], np.int64)
@@ -225,7 +225,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     out = docs
     for block in blocks(benchmark):
         # A document's share of hit words over several passes is that of each pass's items alone.
-        out = out.mapInArrow(partial(_search, _windows(spark, block, window), at, emit), schema)
+        out = common.map_rows(out, partial(_search, _windows(spark, block, window), at, emit))
     return out
 
 

@@ -181,7 +181,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 columns = [text if k == text_at else c for k, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(kept))
 
-    out = docs.mapInArrow(run, schema)
+    out = common.map_rows(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
