@@ -73,8 +73,8 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         at = end
 
 
-def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, document of each) of the runs of True; no run crosses a document's border."""
+def runs(mask: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, document of each) of the runs of True; no run crosses a document's border, nor any of cuts (True: before this byte)."""
     n = len(mask)
     if not n:
         z = np.empty(0, np.int64)
@@ -82,6 +82,9 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first, last = mask.copy(), mask.copy()
     first[1:] &= ~mask[:-1]
     last[:-1] &= ~mask[1:]
+    if cuts is not None:
+        first |= cuts & mask
+        last[:-1] |= cuts[1:] & mask[:-1]
     full = offsets[1:] > offsets[:-1]
     a, b = offsets[:-1][full], offsets[1:][full] - 1
     first[a] = mask[a]

@@ -100,9 +100,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = SIZE, n_open:
     def first(batches) -> Iterator[pa.RecordBatch]:
         enc, packer, part = tokens.encoder(path), Packer(size, n_open, cut=False), _task()
         for batch in batches:
-            for a, b, *_ in kernel.chunks(batch.column(1)):
+            for a, b, data, offsets in kernel.chunks(batch.column(1)):
                 rows = batch.slice(a, b - a)
-                ids, at = tokens.with_end(*enc.encode(rows.column(1).to_pylist()), end_id)
+                ids, at = tokens.with_end(*enc.encode(data, offsets), end_id)
                 for k, doc in enumerate(rows.column(0).to_pylist()):
                     packer.add(doc, 0, int(at[k + 1] - at[k]), ids[at[k] : at[k + 1]])
                 for w in packer.open:  # an open window must not hold the whole chunk's ids in memory

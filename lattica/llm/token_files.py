@@ -35,9 +35,9 @@ def encoded(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
         shard, start = task.partitionId() if task else 0, 0
         enc = tokens.encoder(path)
         for batch in batches:
-            for a, b, *_ in kernel.chunks(batch.column(1)):
+            for a, b, data, offsets in kernel.chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids, at = tokens.with_end(*enc.encode(part.column(1).to_pylist()), end_id)
+                ids, at = tokens.with_end(*enc.encode(data, offsets), end_id)
                 each = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.full(b - a, shard, np.int32)), pa.array(start + at[:-1]), pa.array(each), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))],

@@ -1,24 +1,31 @@
-"""Ids of whole texts by the tokenizers library, with a bounded cache of the pieces between white space.
+"""Ids of whole texts by the tokenizers library, with a bounded cache of segments.
 
-A tokenizer whose pre-tokenizer never joins text across white space gives a text the ids of its
-segments, so each distinct segment is encoded once per worker and looked up afterwards. Texts with
-control characters on which regular expression libraries disagree, or with a special token's string,
-are encoded whole by the library.
+A tokenizer whose pre-tokenizer never joins text across white space, nor an ASCII letter to a sign after
+it, gives a text the ids of its segments; each distinct segment is encoded by the library once while a
+worker's cache holds it, and found again by a 64-bit hash of its bytes. Texts with white space beyond
+ASCII, with control characters on which regular expression libraries disagree, or with a special token's
+string are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-MAX_CACHED = 600_000  # segments held by a worker; those met once go first
-_ODD = re.compile(r"[\x1c-\x1f]")
-_SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEGMENT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_STOPS = ".,"
+from . import kernel
+
+MAX_CACHED = 1_000_000  # segments held by a worker; those met once go first
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_SIGN = (np.arange(256) > 32) & (np.arange(256) < 127) & ~kernel.ALNUM
+_CONTROL = np.isin(np.arange(256), range(0x1C, 0x20))
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_WIDE = np.array(sorted({int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}))
+#: Byte-level models read bytes as signs: printable Latin-1 as it is, the others from U+0100 on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
 def public(name: str) -> str:
@@ -27,6 +34,23 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _odd_documents(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Documents that the cache can't serve."""
+    at = [np.flatnonzero(_CONTROL[data])]
+    lead = np.flatnonzero(_LEAD[data])
+    if len(lead):
+        padded = np.append(data, [0, 0])
+        two = (data[lead].astype(np.int64) << 16) | (padded[lead + 1].astype(np.int64) << 8)
+        at.append(lead[np.isin(np.where(data[lead] == 0xC2, two, two | padded[lead + 2]), _WIDE)])
+    body = data.tobytes()
+    for x in special:
+        k = body.find(x)
+        while k >= 0:
+            at.append(np.array([k]))
+            k = body.find(x, k + 1)
+    return np.unique(np.searchsorted(offsets, np.concatenate(at), side="right") - 1)
+
+
 class CachedEncoder:
     def __init__(self, path: str, limit: int = MAX_CACHED):
         from tokenizers import Tokenizer
@@ -35,9 +59,9 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         spec = json.load(open(path, encoding="utf-8"))
-        self.special = [x["content"] for x in spec.get("added_tokens") or ()]
+        self.special = [x["content"].encode() for x in spec.get("added_tokens") or ()]
         self.mode, self.limit = self._mode(spec), limit
-        self._clear()
+        self._hold(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -52,88 +76,137 @@ class CachedEncoder:
                 return "word"
         return "whole"
 
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
-
-    def _trim(self) -> None:
-        n = len(self.index)
-        keep = self.hits[:n] > 1
-        if keep.sum() * 2 > self.limit:
-            keep &= False
-        words = [w for w, k in zip(self.index, keep.tolist(), strict=True) if k]
-        ids = [self.flat[s : s + z].copy() for s, z in zip(self.start[:n][keep], self.size[:n][keep], strict=True)]
-        self._clear()
-        if words:
-            self._add(words, ids)
-
-    def _add(self, words: list[str], ids: list[np.ndarray]) -> None:
-        n, new = len(self.index), sum(map(len, ids))
-        while self.used + new > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) > len(self.start):
-            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+    # The cache: entry k has hash key[k] and ids flat[start[k] : start[k] + size[k]]; slots is an open hash table of entries.
+
+    def _hold(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
+        self.key, self.flat, self.size, self.hits = key, flat, size, hits
+        self.start = np.cumsum(size) - size
+        bits = max(12, int(len(key) * 3).bit_length())
+        self.mask, self.slots = np.uint64((1 << bits) - 1), np.full(1 << bits, -1, np.int32)
+        at, left = (key & self.mask).astype(np.int64), np.arange(len(key))
+        while len(left):
+            free = self.slots[at[left]] < 0
+            self.slots[at[left[free]]] = left[free]
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & int(self.mask)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.key):
+            return out
+        at, left = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            entry = self.slots[at[left]]
+            good = (entry >= 0) & (self.key[entry] == h[left])
+            out[left[good]] = entry[good]
+            left = left[(entry >= 0) & ~good]
+            at[left] = (at[left] + 1) & int(self.mask)
+        return out
+
+    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+        if len(self.key) + len(key) > self.limit:
+            keep = self.hits > 1
+            if keep.sum() * 2 > self.limit:
+                keep &= self.hits > np.median(self.hits[keep])
+            kept = np.repeat(keep, self.size)
+            self.key, self.flat, self.size, self.hits = self.key[keep], self.flat[kept], self.size[keep], self.hits[keep]
+        ids = self._encode_words(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        if new:
-            self.flat[self.used : self.used + new] = np.concatenate(ids)
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(words)] = sizes
-        self.used += new
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1))
-        ids = np.array(got.ids, np.int32)
-        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new segments; a full stop or comma after an ASCII letter is a pre-token of its own."""
-        stems = {}
-        for w in words:
-            if len(w) > 1 and w[-1] in _STOPS and w[-2].isascii() and w[-2].isalpha():
-                stems[w] = w[:-1]
-        index = self.index
-        whole = dict.fromkeys(chain((w for w in words if w not in stems), (s for s in stems.values() if s not in index), (x for x in _STOPS if x not in index)))
-        new = list(whole)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self._add(part, self._encode_words(part))
-        of = lambda w: self.flat[self.start[index[w]] : self.start[index[w]] + self.size[index[w]]]
-        self._add(list(stems), [np.concatenate([of(s), of(w[-1])]) for w, s in stems.items()])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of each)."""
-        if len(self.index) > self.limit:
-            self._trim()
-        byte = self.mode == "byte"
-        odd = [k for k, x in enumerate(texts) if self.mode == "whole" or any(s in x for s in self.special) or _ODD.search(x)]
-        skip = set(odd)
-        segments = [[] if k in skip else _SEGMENT.findall(x) if byte else x.split() for k, x in enumerate(texts)]
-        flat = list(chain.from_iterable(segments))
-        at = np.array(list(map(self.index.get, flat, repeat(-1))), np.int64)
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            self._learn(list(dict.fromkeys(flat[i] for i in unknown.tolist())))
-            at[unknown] = np.fromiter((self.index[flat[i]] for i in unknown.tolist()), np.int64, len(unknown))
-        if len(at):
-            seen = np.bincount(at)
-            self.hits[: len(seen)] += seen
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
-        n_segments = np.fromiter(map(len, segments), np.int64, len(texts))
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_segments)])]
-        each = np.diff(edge)
-        if odd:
-            parts = np.split(ids, edge[1:-1])
-            for k, got in zip(odd, self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        self._hold(np.concatenate([self.key, key]), np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes]), np.concatenate([self.hits, np.zeros(len(key), np.int64)]))
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of segments. One of Latin letters alone is a single pre-token, which goes to the library's model at once."""
+        out: list[list[int]] = [[]] * len(words)
+        rest, tokenize, byte = [], self.tokenizer.model.tokenize, self.mode == "byte"
+        for k, w in enumerate(words):
+            space = byte and w[0] == " "
+            core = w[1:] if space else w if byte else w.lower()
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                if not core.isascii():
+                    core = core.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                out[k] = [x.id for x in tokenize(_BYTE_SIGNS[32] + core if space else core)]
+            else:
+                rest.append(k)
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
+            got = self.tokenizer.encode([words[k] for k in part], is_pretokenized=True, add_special_tokens=False)
+            bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            ids = got.ids
+            for k, x, y in zip(part, bounds[:-1], bounds[1:], strict=True):
+                out[k] = ids[x:y]
+        return out
+
+    def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, document) of the segments; joined they give each document, white space aside in word mode."""
+        solid = kernel.NOT_SPACE[data]
+        cuts = np.zeros(len(data), bool)
+        cuts[1:] = _LETTER[data[:-1]] & _SIGN[data[1:]]
+        starts, ends, doc = kernel.runs(solid, offsets, cuts)
+        if self.mode == "word":
+            return starts, ends, doc
+        # White space: the last character before a word goes to the word if it is a space, else it stands alone; what is before it is one segment.
+        a, b, own = kernel.runs(~solid, offsets)
+        final = b == offsets[own + 1]
+        joins = ~final & (data[np.maximum(b - 1, 0)] == 32)
+        starts[np.searchsorted(starts, b[joins])] -= 1
+        lone = ~final & ~joins
+        more_a = np.concatenate([a, b[lone] - 1])
+        more_b = np.concatenate([np.where(final, b, b - 1), b[lone]])
+        more_d = np.concatenate([own, own[lone]])
+        some = more_b > more_a
+        order = np.argsort(more_a[some])
+        more_a, more_b, more_d = more_a[some][order], more_b[some][order], more_d[some][order]
+        at = np.searchsorted(starts, more_a)
+        return np.insert(starts, at, more_a), np.insert(ends, at, more_b), np.insert(doc, at, more_d)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each) of a chunk of texts, as kernel.chunks() gives it."""
+        n = len(offsets) - 1
+        odd = np.arange(n) if self.mode == "whole" else _odd_documents(data, offsets, self.special)
+        ids, each = np.empty(0, np.int32), np.zeros(n, np.int64)
+        if len(odd) < n and len(data):
+            starts, ends, doc = self._segments(data, offsets)
+            if len(odd):
+                keep = ~np.isin(doc, odd)
+                starts, ends, doc = starts[keep], ends[keep], doc[keep]
+            h = kernel.span_hash(kernel.prefix_hash(data), starts, ends)
+            at = self._find(h)
+            unknown = np.flatnonzero(at < 0)
+            if len(unknown):
+                new, first = np.unique(h[unknown], return_index=True)
+                first = unknown[first]
+                body = data.tobytes()
+                self._learn(new, [body[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+                at = self._find(h)
+                if (at < 0).any():  # this chunk alone needs more than was kept: entries dropped to make room come back
+                    gone = np.flatnonzero(at < 0)
+                    new, first = np.unique(h[gone], return_index=True)
+                    first = gone[first]
+                    limit, self.limit = self.limit, 1 << 62
+                    self._learn(new, [body[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+                    self.limit, at = limit, self._find(h)
+            self.hits += np.bincount(at, minlength=len(self.key))
+            size = self.size[at]
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+            each = kernel.counts(doc, n, size)
+        if len(odd):
+            texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd]
+            parts = np.split(ids, np.cumsum(each)[:-1])
+            for k, got in zip(odd.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 parts[k] = np.array(got.ids, np.int32)
-            ids, each = np.concatenate(parts).astype(np.int32), np.fromiter(map(len, parts), np.int64, len(parts))
+            ids, each = np.concatenate(parts).astype(np.int32), np.fromiter(map(len, parts), np.int64, n)
         return ids, each
 
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for _, _, data, offsets in kernel.chunks(pa.array(texts, pa.large_string())):
+            ids, each = self.encode(data, offsets)
+            out += [x.tolist() for x in np.split(ids, np.cumsum(each)[:-1])]
+        return out
+
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 
@@ -147,4 +220,9 @@ def encoder(path: str) -> CachedEncoder:
 
 def with_end(ids: np.ndarray, each: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with end_id after each text, and the offsets of the texts."""
-    return np.insert(ids, np.cumsum(each), end_id).astype(np.int32), np.concatenate([[0], np.cumsum(each + 1)])
+    at = np.concatenate([[0], np.cumsum(each + 1)])
+    out = np.empty(int(at[-1]), np.int32)
+    own = np.ones(len(out), bool)
+    own[at[1:] - 1] = False
+    out[own], out[at[1:] - 1] = ids, end_id
+    return out, at
