@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text handled at once; a longer text is a chunk of its own
 
 _ALL = np.arange(256)
 LOWER = np.where((_ALL >= 65) & (_ALL <= 90), _ALL + 32, _ALL).astype(np.uint8)

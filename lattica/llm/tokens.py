@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from . import kernel
 
-MAX_CACHED = 1_000_000  # segments held by a worker; those met once go first
+MAX_CACHED = 600_000  # segments held by a worker; those met once go first
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _SIGN = (np.arange(256) > 32) & (np.arange(256) < 127) & ~kernel.ALNUM
 _CONTROL = np.isin(np.arange(256), range(0x1C, 0x20))
@@ -61,7 +61,7 @@ class CachedEncoder:
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [x["content"].encode() for x in spec.get("added_tokens") or ()]
         self.mode, self.limit = self._mode(spec), limit
-        self._hold(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+        self._clear()
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -78,43 +78,60 @@ class CachedEncoder:
 
     # The cache: entry k has hash key[k] and ids flat[start[k] : start[k] + size[k]]; slots is an open hash table of entries.
 
-    def _hold(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
-        self.key, self.flat, self.size, self.hits = key, flat, size, hits
-        self.start = np.cumsum(size) - size
-        bits = max(12, int(len(key) * 3).bit_length())
-        self.mask, self.slots = np.uint64((1 << bits) - 1), np.full(1 << bits, -1, np.int32)
-        at, left = (key & self.mask).astype(np.int64), np.arange(len(key))
+    def _clear(self) -> None:
+        self.n = self.used = 0
+        self.key, self.flat = np.empty(1 << 12, np.uint64), np.empty(1 << 14, np.int32)
+        self.start, self.size, self.hits = (np.zeros(1 << 12, np.int32) for _ in range(3))
+        self.mask, self.slots = (1 << 13) - 1, np.full(1 << 13, -1, np.int32)
+
+    def _place(self, first: int) -> None:
+        """Enters the entries from first on into the hash table."""
+        left = np.arange(first, self.n)
+        at = (self.key[left] & np.uint64(self.mask)).astype(np.int64)
         while len(left):
-            free = self.slots[at[left]] < 0
-            self.slots[at[left[free]]] = left[free]
-            left = left[self.slots[at[left]] != left]
-            at[left] = (at[left] + 1) & int(self.mask)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            more = self.slots[at] != left
+            left, at = left[more], (at[more] + 1) & self.mask
+
+    def _add(self, key: np.ndarray, flat: np.ndarray, size: np.ndarray, hits: np.ndarray) -> None:
+        n, used = self.n + len(key), self.used + len(flat)
+        grown = lambda x, least: np.concatenate([x, np.zeros(max(len(x), least - len(x)), x.dtype)]) if least > len(x) else x
+        self.key, self.start, self.size, self.hits = (grown(x, n) for x in (self.key, self.start, self.size, self.hits))
+        self.flat = grown(self.flat, used)
+        self.key[self.n : n], self.size[self.n : n], self.hits[self.n : n] = key, size, hits
+        self.start[self.n : n] = self.used + np.cumsum(size) - size
+        self.flat[self.used : used] = flat
+        first, self.n, self.used = self.n, n, used
+        if 2 * n > len(self.slots):
+            size = 1 << int(2 * n).bit_length()
+            self.mask, self.slots, first = size - 1, np.full(size, -1, np.int32), 0
+        self._place(first)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
         out = np.full(len(h), -1, np.int64)
-        if not len(self.key):
-            return out
-        at, left = (h & self.mask).astype(np.int64), np.arange(len(h))
+        left, at, want = np.arange(len(h)), (h & np.uint64(self.mask)).astype(np.int64), h
         while len(left):
-            entry = self.slots[at[left]]
-            good = (entry >= 0) & (self.key[entry] == h[left])
+            entry = self.slots[at]
+            good = (entry >= 0) & (self.key[entry] == want)
             out[left[good]] = entry[good]
-            left = left[(entry >= 0) & ~good]
-            at[left] = (at[left] + 1) & int(self.mask)
+            more = (entry >= 0) & ~good
+            left, at, want = left[more], (at[more] + 1) & self.mask, want[more]
         return out
 
     def _learn(self, key: np.ndarray, words: list[str]) -> None:
-        if len(self.key) + len(key) > self.limit:
-            keep = self.hits > 1
+        if self.n + len(key) > self.limit:
+            old, flat, size, hits = self.key[: self.n], self.flat[: self.used], self.size[: self.n], self.hits[: self.n]
+            keep = hits > 1
             if keep.sum() * 2 > self.limit:
-                keep &= self.hits > np.median(self.hits[keep])
-            kept = np.repeat(keep, self.size)
-            self.key, self.flat, self.size, self.hits = self.key[keep], self.flat[kept], self.size[keep], self.hits[keep]
+                keep &= hits > np.median(hits[keep])
+            self._clear()
+            self._add(old[keep], flat[np.repeat(keep, size)], size[keep], hits[keep])
         ids = self._encode_words(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        self._hold(np.concatenate([self.key, key]), np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes]), np.concatenate([self.hits, np.zeros(len(key), np.int64)]))
+        self._add(key, flat, sizes, np.zeros(len(key), np.int32))
 
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of segments. One of Latin letters alone is a single pre-token, which goes to the library's model at once."""
@@ -187,8 +204,9 @@ class CachedEncoder:
                     limit, self.limit = self.limit, 1 << 62
                     self._learn(new, [body[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
                     self.limit, at = limit, self._find(h)
-            self.hits += np.bincount(at, minlength=len(self.key))
-            size = self.size[at]
+            seen = np.bincount(at)
+            self.hits[: len(seen)] += seen.astype(np.int32)
+            size = self.size[at].astype(np.int64)
             stop = np.cumsum(size)
             ids = self.flat[np.repeat(self.start[at] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
             each = kernel.counts(doc, n, size)
