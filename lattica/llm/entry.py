@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, packing, quality_model, quality_rules, token_counts, token_files
+from . import chat, decontamination, ngram_join, packing, quality_model, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op3_chat_format": chat.op3_chat_format,
     "op4_token_files": token_files.op4_token_files,
     "op6_token_counts": token_counts.op6_token_counts,
