@@ -34,7 +34,7 @@ from . import common, kernel
 from .components import components
 
 N, THRESHOLD, TARGET_RECALL, MAX_HASHES = 5, 0.8, 0.9995, 128
-BUCKET_BLOCK, BLOCK = 2048, 512
+BUCKET_BLOCK, BLOCK = 512, 512
 BLOOM_BITS = 1 << 24
 SLACK = 4.0  # standard errors by which a signature may fall short of the threshold
 

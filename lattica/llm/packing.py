@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = SIZE, n_open:
     n = max(1, n_left // LEFTOVERS_A_TASK)
     # A leftover's pieces stay together; whole leftovers are dealt by partition number, so no key is hot.
     left = left.repartition(n, "part", "seq").sortWithinPartitions("part", "seq", "offset")
-    merged = left.mapInArrow(second, SCHEMA)
+    merged = common.written(left.mapInArrow(second, SCHEMA), "merged")
     # Part numbers stay below 2^23 and sequence numbers below 2^31; merged windows have odd ids.
     name = lambda odd: (F.col("part").cast("long") * F.lit(1 << 32) + F.col("seq").cast("long") * 2 + odd).alias("sequence_id")
     padded = F.when(F.expr("bit_count(used) = 1"), F.col("used")).otherwise(F.lit(size)).alias("padded")

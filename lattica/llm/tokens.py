@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from . import kernel
 
-MAX_CACHED = 600_000  # segments held by a worker; those met once go first
+MAX_CACHED = 400_000  # segments held by a worker; those met once go first
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _SIGN = (np.arange(256) > 32) & (np.arange(256) < 127) & ~kernel.ALNUM
 _CONTROL = np.isin(np.arange(256), range(0x1C, 0x20))
