@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, ngram_join, packing, quality_model, quality_rules, token_counts, token_files
+from . import chat, decontamination, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_chat_format": chat.op3_chat_format,
     "op4_token_files": token_files.op4_token_files,
     "op6_token_counts": token_counts.op6_token_counts,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL = {"op3_chat_format": chat.OP3_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
+ORACLE_SQL = {"op2_license_scan": licenses.oracle_sql(), "op3_chat_format": chat.OP3_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_quality_rules": quality_rules.OP9_SQL}
