@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, token_files
+from . import chat, decontamination, licenses, lm_score, ngram_join, packing, quality_model, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_chat_format": chat.op3_chat_format,
     "op4_token_files": token_files.op4_token_files,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality_model": quality_model.op8_quality_model,
