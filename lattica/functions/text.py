@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters read as spaces besides carriage return, line feed and tab; patterns of codes in cells.
-SPACES = "            　"
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u3000"
 _GBM = r"(?:\([ ]*GBM[ ]*([0-9]+)[ ]*\))?"
 CELL = rf"^(.*?)([0-9-]+)[ ]*{_GBM}[ ]*(.*)\z"
 CODE_START = r"[0-9-]+(?:[ \t\n\f\r]*\([ \t\n\f\r]*GBM[ \t\n\f\r]*[0-9]+[ \t\n\f\r]*\))?"
