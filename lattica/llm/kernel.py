@@ -6,6 +6,7 @@ word byte, so words of whole texts are runs in a byte mask. Hashes are 64-bit po
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the system; a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; a permutation of uint64."""
     h = h ^ (h >> np.uint64(31))
@@ -71,6 +82,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         end = min(n, max(end, at + 1))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    release()
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
