@@ -60,9 +60,9 @@ def _(spark, d):
     return H.preorder(_tree(spark, d)).select("code", "root_code", "depth")
 
 
-@_query("hr03_find_descendants", f"{_TAX} SELECT code, name FROM tax WHERE code = '2-12' OR starts_with(code, '2-12-')")
+@_query("hr03_find_descendants", f"{_TAX} SELECT code, name FROM tax WHERE code = '2-11' OR starts_with(code, '2-11-')")
 def _(spark, d):
-    return H.subtree(W.tax(spark, d), "2-12").select("code", "name")
+    return H.subtree(W.tax(spark, d), "2-11").select("code", "name")
 
 
 @_query("hr04_find_children", f"{_TAX} SELECT code, name FROM tax WHERE parent = '1'")
@@ -489,9 +489,9 @@ def _(spark, d):
     return W.tax(spark, d).groupBy(codes.main_category(F.col("code")).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
 
 
-@_query("st06_except", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("st06_except", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
-    return W.table(spark, d, "customer").select("c_custkey").exceptAll(W.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    return W.table(spark, d, "customer").select("c_custkey").exceptAll(W.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
 @_query("fn32_md5", "SELECT doc_id, md5(text) AS hash FROM documents")
