@@ -223,6 +223,39 @@ def test_lm_code_is_a_probability(spark):
     assert len({(int(a), int(b)) for a, b in zip(v.length, v.code, strict=True)}) == 501
 
 
+def test_lm_tables_grow_with_the_training_tokens(spark):
+    """Tables and head have no largest size: ten times the tokens give about ten times the slots."""
+    small, large = (lm_score.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.full(4, n), 1, 0) for n in (50_000_000, 500_000_000))
+    assert all(5 * a <= b <= 20 * a for a, b in zip(small.sizes, large.sizes, strict=True))
+    assert int(large.bases[-1]) == sum(large.sizes)
+    many = lm_score.train(_docs(spark, ["b a c " * 5, "a b " * 4] * 20)).vocabulary.value
+    assert len(many.keys) == 3 and many.sizes == lm_score.SMALLEST
+
+
+def test_lm_counts_meet_whole(spark, monkeypatch):
+    """The sparse blocks of all tasks add up to the counts of the texts, also above the range of one and two bytes."""
+    monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1, 1, 1))
+    monkeypatch.setattr(lm_score, "SMALLEST", (lm_score.BLOCK,) * 3)
+    texts = ["a b a c d " * 12000, "x yy zzz " * 40, ""]
+    v = lm_score.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64), 3, 60_120)
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    parts = [list(lm_score._tables(SimpleNamespace(value=v))([pa.RecordBatch.from_pydict({"text": t})])) for t in (texts, texts[:1])]
+    rows = pa.Table.from_batches([b for p in parts for b in p]).sort_by("block")
+    total = np.zeros((2, int(v.bases[-1])), np.int64)
+    for b in lm_score._add_blocks(rows.to_batches()):
+        k = b.column(0)[0].as_py()
+        total[:, k * lm_score.BLOCK : (k + 1) * lm_score.BLOCK] += np.frombuffer(b.column(1)[0].as_py(), np.uint32).reshape(2, -1)
+    want = np.zeros_like(total)
+    for t in (texts, texts[:1]):
+        for _, _, data, offsets in lm_score.kernel.chunks(pa.array(t)):
+            b = lm_score.Bits(v, data, offsets)
+            for x in b.slots:
+                np.add.at(want, (b.bit, x), 1)
+    assert (total == want).all() and want.max() > 1 << 16
+
+
 def test_licenses(spark):
     texts = ["This work is licensed under the Foo Bar License.", "He got a license to fish.", "x\nReleased under the MIT License.\ny", None, "", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."]
     got = {r.doc_id: r for r in licenses.scanned(_docs(spark, texts, extra=True)).collect()}
