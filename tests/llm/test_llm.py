@@ -232,6 +232,17 @@ def test_lm_tables_grow_with_the_training_tokens(spark):
     assert len(many.keys) == 3 and many.sizes == lm_score.SMALLEST
 
 
+def test_lm_gates_and_least_sizes(monkeypatch):
+    """Depths to 31 and bits of a byte to 7 have gates of their own, and the tables are not under their earlier sizes."""
+    monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1 << 60,) * 3)
+    v = lm_score.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.array([1 << 60, 1 << 40, 1 << 34, 1]), 1, 0)
+    text = np.frombuffer("word \x01\x02".encode(), np.uint8)
+    b = lm_score.Bits(v, text, np.array([0, len(text)]))
+    # The escape's path is the longest.
+    assert set(range(32)) <= set(b.gate.tolist()) and {32 + 8 * j + 7 for j in (0, 1)} <= set(b.gate.tolist()) and 2 * b.gate.max() + 1 < lm_score.GATES
+    assert all(a >= b for a, b in zip(lm_score.sizes(0), (1 << 20, 1 << 21, 1 << 21), strict=True))
+
+
 def test_lm_counts_meet_whole(spark, monkeypatch):
     """The sparse blocks of all tasks add up to the counts of the texts, also above the range of one and two bytes."""
     monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1, 1, 1))
