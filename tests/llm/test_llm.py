@@ -243,6 +243,21 @@ def test_lm_gates_and_least_sizes(monkeypatch):
     assert all(a >= b for a, b in zip(lm_score.sizes(0), (1 << 20, 1 << 21, 1 << 21), strict=True))
 
 
+def test_lm_weights_are_fitted_on_all_texts(spark, monkeypatch):
+    """Every bit of every training text is fitted on, once, also beyond the first hundreds of documents."""
+    texts = [f"common words {k} here" for k in range(700)]
+    train = [k for k in range(700) if zlib.crc32(str(k).encode()) % 7 != 2]
+    seen = []
+    monkeypatch.setattr(lm_score, "averaged", lambda fits, own=lm_score.averaged: seen.extend(fits) or own(fits))
+    v = lm_score.train(_docs(spark, texts).repartition(3)).vocabulary.value
+    data = np.frombuffer("".join(texts[k] for k in train).encode(), np.uint8)
+    bits = lm_score.Bits(v, data, np.cumsum([0, *(len(texts[k]) for k in train)]))
+    assert len(train) > 500 and sum(int(n.sum()) for _, n in seen) == len(bits.bit)
+    a, b = np.ones((lm_score.GATES, lm_score.CONTEXTS + 1)), np.zeros(lm_score.GATES, np.int64)
+    b[5] = 3
+    assert np.allclose(lm_score.averaged([(a, b), (5 * a, 3 * b)])[5], 4) and (lm_score.averaged([(a, b)])[6] == lm_score.start_weights()[6]).all()
+
+
 def test_lm_counts_meet_whole(spark, monkeypatch):
     """The sparse blocks of all tasks add up to the counts of the texts, also above the range of one and two bytes."""
     monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1, 1, 1))
