@@ -143,29 +143,24 @@ def _hits(w: Windows, part: pa.RecordBatch, total, spans, found) -> pa.RecordBat
 
 
 def _merge(batches):
+    """Spans of all passes as one pass would have them: runs of hit words that overlap or follow each other are one."""
     for batch in batches:
         rows = batch.to_pylist()
         for x in rows:
+            many, text = [s for spans in x.pop("many") for s in spans], x.pop("text")
             spans: list[dict] = []
-            for y in sorted((s for many in x.pop("many") for s in many), key=lambda s: (s["first"], s["end"])):
-                # Runs of different passes may overlap; words of the overlap are counted again from the text by the caller's n_hit.
-                if spans and y["first"] < spans[-1]["end"]:
-                    spans[-1]["end"] = max(spans[-1]["end"], y["end"])
-                else:
-                    spans.append(dict(y))
-            x["spans"], x["items"] = spans, sorted({i for many in x["items"] for i in many})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64())), ("text", pa.string())]))
-
-
-def _recount(batches):
-    """Counts the words of merged spans in the text."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        for x in rows:
-            body = np.frombuffer(x.pop("text").encode(), np.uint8)
-            starts, _, _ = kernel.runs(kernel.ALNUM[body], np.array([0, len(body)]))
-            for s in x["spans"]:
-                s["words"] = int(np.searchsorted(starts, s["end"]) - np.searchsorted(starts, s["first"]))
+            if many:
+                body = np.frombuffer(text.encode(), np.uint8)
+                starts, _, _ = kernel.runs(kernel.ALNUM[body], np.array([0, len(body)]))
+                first, end = (np.searchsorted(starts, [s[k] for s in many]).tolist() for k in ("first", "end"))
+                last = -1
+                for a, b, s in sorted(zip(first, end, many, strict=True), key=lambda y: y[:2]):
+                    if a > last:
+                        spans.append({"first": s["first"], "end": s["end"], "words": b - a})
+                    elif b > last:
+                        spans[-1]["end"], spans[-1]["words"] = s["end"], spans[-1]["words"] + b - last
+                    last = max(last, b)
+            x["spans"], x["items"] = spans, sorted({i for items in x["items"] for i in items})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64()))]))
 
 
@@ -182,51 +177,68 @@ def _windows(spark: SparkSession, block: DataFrame, window: int):
     return spark.sparkContext.broadcast(Windows(table.column(0).to_pylist(), table.column(1).to_pylist(), window))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row, doc_id, n_words, spans (merged removal spans: bytes of the text and number of words), items."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    passes = [rows.mapInArrow(partial(_search, _windows(spark, b, window), 2, _hits), HITS) for b in blocks(benchmark, block_bytes)]
+def _hits_of(rows: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """HITS of rows (row, doc_id, text) by the items of all parts; a row number belongs to one row."""
+    passes = [rows.mapInArrow(partial(_search, _windows(rows.sparkSession, b, window), 2, _hits), HITS) for b in parts]
     if len(passes) == 1:
         return passes[0]
     both = passes[0]
     for x in passes[1:]:
         both = both.unionByName(x)
     many = both.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("many"), F.collect_list("items").alias("items"))
-    merged = many.join(rows.select("row", "text"), "row").select("row", "doc_id", "n_words", "many", "items", "text")
-    return merged.mapInArrow(_merge, HITS + ", text string").mapInArrow(_recount, HITS)
+    return many.join(rows.select("row", "text"), "row").select("row", "doc_id", "n_words", "many", "items", "text").mapInArrow(_merge, HITS)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """row, doc_id, n_words, spans (merged removal spans: bytes of the text and number of words), items."""
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    return _hits_of(rows, blocks(benchmark, block_bytes), window)
 
 
 def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
-    """docs without contaminated documents; with cut, these stay without their removal spans instead."""
+def _judged(part: pa.RecordBatch, at: int, total: np.ndarray, spans: list[list[tuple[int, int, int]]], cut: bool) -> pa.RecordBatch:
+    n_hit = np.array([sum(s[2] for s in x) for x in spans], np.int64)
+    bad = contaminated(n_hit, total)
+    if not cut:
+        return part.filter(pa.array(~bad))
+    texts = part.column(at).to_pylist()
+    for k in np.flatnonzero(bad):
+        body, last, kept = texts[k].encode(), 0, []
+        for a, b, _ in spans[k]:
+            kept.append(body[last:a])
+            last = b
+        texts[k] = b"".join([*kept, body[last:]]).decode()
+    return pa.RecordBatch.from_arrays([pa.array(texts, c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated documents; with cut, these stay without their removal spans instead.
+
+    A document is judged, and cut, once, by the spans of all items: those of several passes are merged by row first.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     at = docs.columns.index("text")
-
-    def emit(w, part, total, spans, found):
-        n_hit = np.array([sum(s[2] for s in x) for x in spans], np.int64)
-        bad = contaminated(n_hit, total)
-        if not cut:
-            return part.filter(pa.array(~bad))
-        texts = part.column(at).to_pylist()
-        for k in np.flatnonzero(bad):
-            body, last, kept = texts[k].encode(), 0, []
-            for a, b, _ in spans[k]:
-                kept.append(body[last:a])
-                last = b
-            texts[k] = b"".join([*kept, body[last:]]).decode()
-        return pa.RecordBatch.from_arrays([pa.array(texts, c.type) if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
-
-    out = docs
-    for block in blocks(benchmark):
-        # A document's share of hit words over several passes is that of each pass's items alone.
-        out = common.map_rows(out, partial(_search, _windows(spark, block, window), at, emit))
-    return out
+    parts = blocks(benchmark, block_bytes)
+    if len(parts) == 1:
+        return common.map_rows(docs, partial(_search, _windows(spark, parts[0], window), at, lambda w, part, total, spans, found: _judged(part, at, total, spans, cut)))
+    # Written once, so that each pass and the join see the same row numbers.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    numbered = common.written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("row", F.lit(None).cast("long").alias("doc_id"), common.text_of(names[at]).alias("text"))
+    found = _hits_of(rows, parts, window).select("row", "n_words", "spans")
+
+    def judge(batches):
+        for batch in batches:
+            spans = [[(s["first"], s["end"], s["words"]) for s in x] for x in batch.column(len(names) + 1).to_pylist()]
+            yield _judged(batch.select(names), at, batch.column(len(names)).to_numpy(), spans, cut)
+
+    joined = numbered.join(found, "row").select(*names, "n_words", "spans")
+    return joined.mapInArrow(judge, numbered.select(*names).schema).toDF(*docs.columns)
 
 
 def _digest(batches):

@@ -203,6 +203,26 @@ def test_quality_model(spark):
     assert len(held) > 40 and all((r.score >= 0.5) == (r.doc_id < 120) for r in held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_decontaminated_judges_by_all_passes(spark):
+    """A document with 4 % of its words from each of two passes' items goes, and texts are cut once, as in one pass."""
+    first, second = ([f"{x}{k}" for k in range(13)] for x in "pq")
+    filler = [f"w{k}" for k in range(300)]
+    texts = [" ".join(filler[:100] + first + filler[100:] + second), " ".join([*filler, *first]), " ".join([*filler[:50], *first, *second, *filler[50:100]]), "clean text", "", None]
+    texts.append(texts[0])
+    docs = _docs(spark, texts, extra=True)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([first, second, *([f"u{j}x{k}" for k in range(13)] for j in range(6))])], "item_id long, text string")
+    parts = [{r.item_id for r in b.collect()} for b in decontamination.blocks(bench, 60)]
+    assert not any({0, 1} <= p for p in parts)
+    for cut in (False, True):
+        one, many = (decontamination.decontaminated(docs, bench, cut=cut, block_bytes=b) for b in (1 << 20, 60))
+        assert many.columns == docs.columns and many.schema == one.schema
+        got = sorted((r.doc_id, r.text) for r in many.select("doc_id", "text").collect())
+        assert got == sorted((r.doc_id, r.text) for r in one.select("doc_id", "text").collect())
+        assert [k for k, _ in got] == ([0, 1, 2, 3, 4, 5, 6] if cut else [1, 3, 4, 5]) and (not cut or got[2][1] == " ".join(filler[:50]) + "  " + " ".join(filler[50:100]))
+    spans = [{r.doc_id: (r.spans, r.items) for r in decontamination.hits(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 60)]
+    assert spans[0] == spans[1]
+
+
 def test_lm_score(spark):
     texts = [t for t in _texts() for _ in range(3)]
     train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
