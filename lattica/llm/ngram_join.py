@@ -262,6 +262,11 @@ def _sets(bloom, n: int):
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id, node, n_copies, n_links of each row of docs."""
+    return _labelled(docs, threshold, n, recall).drop("label")
+
+
+def _labelled(docs: DataFrame, threshold: float, n: int, recall: float = TARGET_RECALL) -> DataFrame:
+    """joined() with the label of each row's class, which is set and distinct for classes without ids too; null for no words."""
     spark = docs.sparkSession
     common.ship(spark)
     bands, rows = choose_bands(threshold, recall)
@@ -292,9 +297,9 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: fl
     labels = components(found.filter("b is not null").select("a", "b"))
     known = nodes.select("node", "n_copies", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "label").join(links, "node", "left").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = signed.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return signed.filter(F.col("node").isNotNull()).select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "node", "n_copies", "n_links").unionByName(alone)
+    known = known.join(least, "label").join(links, "node", "left").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
+    alone = signed.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label"))
+    return signed.filter(F.col("node").isNotNull()).select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "node", "n_copies", "n_links", "label").unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -305,8 +310,10 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> D
     """
     if docs.columns.count("doc_id") != 1:
         raise ValueError("docs has one column doc_id")
-    found = common.written(joined(docs, threshold, n), "classes")
-    keep = found.filter(F.col("node").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "node").distinct()
+    found = common.written(_labelled(docs, threshold, n), "classes")
+    # Rows of the least id may have different texts: the least node is kept.
+    first = found.filter(F.col("node").isNotNull() & F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("label").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"))
+    keep = found.filter(F.col("node").isNull()).select("doc_id", "node").distinct().unionByName(first.select("doc_id", "node"))
     id_, node_, row_ = (common.free_name(docs.columns, x) for x in ("keep_id", "keep_node", "row_node"))
     keep = keep.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias(id_), F.coalesce(F.col("node"), F.lit(0)).alias(node_))
     with_node = _with_node(docs, row_, n)

@@ -203,6 +203,20 @@ def test_quality_model(spark):
     assert len(held) > 40 and all((r.score >= 0.5) == (r.doc_id < 120) for r in held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_deduplicated_keeps_one_row_where_ids_tie(spark):
+    """Near copies without ids, or of one id, are one class with one row left; rows without words all stay."""
+    words = [f"w{k}" for k in range(300)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (20, 150, 299)]
+    other = " ".join(f"v{k}" for k in range(300))
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (None, other), (7, "z " + other), (7, other + " z"), (9, other), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows[:3] + rows[7:], "doc_id long, text string")
+    got = [r.text for r in ngram_join.deduplicated(docs).collect()]
+    assert len(got) == 3 and sum(t in near for t in got) == 1
+    docs = spark.createDataFrame(rows[3:7], "doc_id long, text string")
+    got = ngram_join.deduplicated(docs).collect()
+    assert len(got) == 1 and got[0].doc_id == 7
+
+
 def test_decontaminated_judges_by_all_passes(spark):
     """A document with 4 % of its words from each of two passes' items goes, and texts are cut once, as in one pass."""
     first, second = ([f"{x}{k}" for k in range(13)] for x in "pq")
