@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 #: Characters read as spaces besides carriage return, line feed and tab; patterns of codes in cells.
 SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u3000"
 _GBM = r"(?:\([ ]*GBM[ ]*([0-9]+)[ ]*\))?"
+_BLANK = r"[ \t\n\f\r]"
 CELL = rf"^(.*?)([0-9-]+)[ ]*{_GBM}[ ]*(.*)\z"
 CODE_START = r"[0-9-]+(?:[ \t\n\f\r]*\([ \t\n\f\r]*GBM[ \t\n\f\r]*[0-9]+[ \t\n\f\r]*\))?"
-MAJOR = rf"第[一二三四五六七八]大类[ ]+([1-8])[ ]*{_GBM}[ ]*([^\n]*)\z"
+MAJOR = rf"第[一二三四五六七八]大类{_BLANK}+([1-8]){_BLANK}*(?:\({_BLANK}*GBM{_BLANK}*([0-9]+){_BLANK}*\))?{_BLANK}*([^\n]*)\z"
 
 
 def squeezed(text: Column) -> Column:
@@ -28,11 +29,10 @@ def normalized_name(text: Column) -> Column:
 
 def parsed_cell(text: Column, joiner: str = " ") -> Column:
     """struct(code, gbm_code, name) of a cell; null where it has no code. joiner stands between the name's parts."""
-    t = squeezed(F.translate(text, " ", " "))
+    t = squeezed(F.translate(text, "\u00a0", " "))
     trim = lambda c: F.regexp_replace(c, "^ +| +$", "")
     head, tail = trim(F.regexp_extract(t, CELL, 1)), trim(F.regexp_extract(t, CELL, 4))
-    name = F.when((head != "") & (tail != ""), F.concat(head, F.lit(joiner), tail)).otherwise(F.concat(head, tail))
-    name = normalized_name(name) if joiner else name
+    name = normalized_name(F.when((head != "") & (tail != ""), F.concat(head, F.lit(joiner), tail)).otherwise(F.concat(head, tail)))
     return F.when(t.rlike(CELL), F.struct(F.regexp_extract(t, CELL, 2).alias("code"), F.regexp_extract(t, CELL, 3).alias("gbm_code"), name.alias("name")))
 
 
@@ -42,11 +42,14 @@ def record_texts(text: Column) -> Column:
 
 
 def major_class(text: Column) -> Column:
-    return F.when(text.rlike(MAJOR), F.struct(F.regexp_extract(text, MAJOR, 1).alias("code"), F.regexp_extract(text, MAJOR, 2).alias("gbm_code"), F.regexp_extract(text, MAJOR, 3).alias("name")))
+    """struct(code, gbm_code, name) of a cell that names one of the eight major classes; null for others and for one without a name."""
+    name = normalized_name(F.regexp_extract(text, MAJOR, 3))
+    return F.when(text.rlike(MAJOR) & (name != ""), F.struct(F.regexp_extract(text, MAJOR, 1).alias("code"), F.regexp_extract(text, MAJOR, 2).alias("gbm_code"), name.alias("name")))
 
 
 def gbm_number(text: Column) -> Column:
-    return F.coalesce(text.try_cast("int"), F.lit(0))
+    """The digits of a text as a number, 0 without any."""
+    return F.coalesce(F.regexp_replace(text, "[^0-9]", "").try_cast("long"), F.lit(0).cast("long"))
 
 
 def occupation_code(text: Column) -> Column:
@@ -72,6 +75,7 @@ def has_value(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
 
+#: Terms of rate limits.
 def is_rate_limited(code: Column, message: Column) -> Column:
     return (code == "429") | F.lower(message).rlike("rate limit|429|限流|限制")
 
@@ -88,5 +92,23 @@ def queue_name(kind: Column, queues: dict[str, str] = QUEUES) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit("queue:default"))
 
 
+def md5_hex(content: Column) -> Column:
+    return F.md5(content.cast("binary"))
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes as MB with two places, halves to even."""
+    return F.bround(size / 1024 / 1024, 2)
+
+
+def kilobytes(size: Column) -> Column:
+    return F.bround(size / 1024, 2)
+
+
+def mean_of(total: Column, n: Column) -> Column:
+    """A mean with one place, halves to even; 0 of nothing."""
+    return F.coalesce(F.bround(total / F.nullif(n, F.lit(0)), 1), F.lit(0.0))
+
+
 def backoff_seconds(attempt: Column, cap: int = 30) -> Column:
     return F.least(attempt * attempt, F.lit(cap))

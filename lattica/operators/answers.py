@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,19 +70,43 @@ def prompts(rows: DataFrame, key: str, order: str, fields: list[str], template:
     return packed.select(key, F.format_string(template, F.col(key).cast("string"), F.to_json(listed)).alias("prompt"))
 
 
-def answered(prompts: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """Adds answer by calling client, which must be picklable, on each distinct prompt once; null where it raises."""
+#: Prompts of the four kinds of calls; %s are the key and its rows as JSON.
+PROMPTS = {
+    "clean": "Clean the items of class %s. Keep code and name of each, as a JSON array: %s",
+    "analyse": "Compare the items found for %s with the dictionary and answer as {\"items\": [...]}: %s",
+    "batch": "For batch %s give the corrected name of every code as a JSON array: %s",
+    "choose": "For %s choose the better name of each pair; answer with name and selected_from (rule or pdf): %s",
+}
+
+
+def answered(prompts: DataFrame, client: Callable[[str], str], tries: int = 3, wait: Callable[[float], None] = time.sleep, at_once: int = 8) -> DataFrame:
+    """Adds answer and error by calling client, which must be picklable, on each distinct prompt, at_once of a partition at a time.
+
+    A call that raises is tried again after 1, 4, 9, ... seconds (30 at most), tries times in all; then answer is null
+    and error says why.
+    """
+
+    def call(prompt: str) -> tuple[str | None, str | None]:
+        for k in range(1, tries + 1):
+            try:
+                return client(prompt), None
+            except Exception as e:
+                error = str(e)
+                if k < tries:
+                    wait(min(k * k, 30))
+        return None, error
 
     def run(batches: Iterator):
-        for batch in batches:
-            out = []
-            for p in batch["prompt"]:
-                try:
-                    out.append(client(p))
-                except Exception as e:  # a failed call is a row without an answer and with the reason
-                    out.append(None)
-                    batch.loc[batch.index[len(out) - 1], "error"] = str(e)
-            yield batch.assign(answer=out)[["prompt", "answer", "error"]]
-
-    once = prompts.select("prompt").distinct().withColumn("error", F.lit(None).cast("string"))
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                got = list(pool.map(call, batch["prompt"]))
+                yield batch.assign(answer=[a for a, _ in got], error=[e for _, e in got])
+
+    once = prompts.select("prompt").filter("prompt is not null").distinct()
     return prompts.join(once.mapInPandas(run, "prompt string, answer string, error string"), "prompt", "left")
+
+
+def occupation_codes(body: Column) -> Column:
+    """array<struct(code, name, confidence)> of a service's reply; a missing confidence is CONFIDENCE."""
+    found = F.from_json(body, "codes array<struct<code:string,name:string,confidence:double>>")["codes"]
+    return F.transform(found, lambda c: F.struct(c["code"].alias("code"), c["name"].alias("name"), F.coalesce(c["confidence"], F.lit(CONFIDENCE)).alias("confidence")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
+from lattica.operators import order as O
 
 #: Signs of an occupation's name, gaps of indents, and bounds of a page's margins.
 JOB_WORDS = "员|师|工|长|家|人员|技术|管理|操作|专员|主管"
@@ -58,9 +59,13 @@ def with_levels(blocks: DataFrame) -> DataFrame:
 
 
 def matched(blocks: DataFrame, ahead: int = 4) -> DataFrame:
-    """Blocks with a code, and name and confidence of the first fitting block of the next few of the task."""
-    order = Window.partitionBy("task_id").orderBy("page_num", "block_num")
-    seen = blocks.select("*", F.array(*[F.lead(F.struct("text", "center_y"), k).over(order) for k in range(1, ahead + 1)]).alias("_next")).filter("occupation_code is not null")
+    """Blocks with a code, and name and confidence of the first fitting block of the next few of the task.
+
+    Blocks are numbered through a task's pages and looked at in lots that know the next ones, so that a task of very
+    many pages is not one window.
+    """
+    placed = O.numbered(blocks, ["task_id"], F.col("page_num"), ["block_num"], "_n", 1 << 10)
+    seen = O.over_frame(placed, ["task_id"], lambda w: {"_next": F.array(*[F.lead(F.struct("text", "center_y"), k).over(w) for k in range(1, ahead + 1)])}, after=ahead, name="_n").filter("occupation_code is not null")
     y, height = F.col("center_y"), F.col("height")
 
     def judge(c):
@@ -101,6 +106,34 @@ def examples(blocks: DataFrame, n: int = 3) -> DataFrame:
     return blocks.withColumn("level", level).withColumn("k", F.row_number().over(place)).filter(F.col("k") <= n).select("task_id", "level", "k", T.preview(F.col("text")).alias("preview"))
 
 
+def size_levels(blocks: DataFrame) -> DataFrame:
+    """task_id, font_size, level: the three largest sizes are levels 1 to 3, others the last one."""
+    sizes = blocks.filter("font_size > 0").select("task_id", "font_size").distinct()
+    place = F.dense_rank().over(Window.partitionBy("task_id").orderBy(F.desc("font_size")))
+    return sizes.withColumn("level", F.when(place <= 3, place).otherwise(MAX_LEVEL))
+
+
+def page_of(blocks: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of blocks by page and number; limit is from 1 to 1000."""
+    if not 1 <= limit <= 1000 or offset < 0:
+        raise ValueError(f"limit {limit} or offset {offset}")
+    return blocks.orderBy("task_id", "page_num", "block_num").offset(offset).limit(limit)
+
+
+def distinct_fonts(blocks: DataFrame) -> DataFrame:
+    return blocks.select("font", "font_size").distinct()
+
+
+def codes_in_order(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("occupation_code is not null").orderBy("task_id", "page_num", "block_num")
+
+
+def page_texts(blocks: DataFrame, separator: str = "\n") -> DataFrame:
+    """text of each page (task_id, page_num): its blocks' texts in order. A page's blocks are few by their nature."""
+    rows = blocks.groupBy("task_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("block_num", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    return rows.select("task_id", "page_num", F.array_join("x.text", separator).alias("text"))
+
+
 def page_fonts(blocks: DataFrame) -> DataFrame:
     """Each page's most used font (least name of those that tie) and its number of sizes."""
     n = blocks.groupBy("task_id", "page_num", "font").agg(F.count(F.lit(1)).alias("n"))

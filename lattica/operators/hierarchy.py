@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import codes
+from lattica.operators import order as O
 
 
 def first_wins(rows: DataFrame, key: str = "code", order: str = "seq") -> DataFrame:
-    """One row of each key: the first by order. min_by adds up before the shuffle, so a hot key is no burden."""
-    others = [c for c in rows.columns if c != key]
-    picked = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("_row"))
-    return picked.select(key, "_row.*")
+    """One row of each key: the first by order, then by the other columns. min adds up before the shuffle, so a hot key is no burden."""
+    return _one(rows, key, order, F.min)
 
 
 def last_wins(rows: DataFrame, key: str = "code", order: str = "seq") -> DataFrame:
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row")).select(key, "_row.*")
+    """One row of each key: the last by order, then by the other columns."""
+    return _one(rows, key, order, F.max)
+
+
+def _one(rows: DataFrame, key: str, order: str, pick) -> DataFrame:
+    others = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(pick(F.struct(order, *others)).alias("_row")).select(*[F.col(c) if c == key else F.col(f"_row.{c}") for c in rows.columns])
 
 
 def ancestors(rows: DataFrame) -> DataFrame:
@@ -43,11 +47,16 @@ def built(rows: DataFrame, orphans: str = "root") -> DataFrame:
 
 
 def with_depth(tree: DataFrame) -> DataFrame:
-    """Adds root_code and depth (1 at a root): the nearest orphan above, or the first part, is the root."""
-    tops = tree.filter(F.col("tree_parent") == "").select(F.col("code").alias("ancestor"))
-    above = ancestors(tree).unionByName(tree.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("up")))
-    roots = above.join(tops, "ancestor").groupBy("code").agg(F.min(F.struct("up", "ancestor")).alias("m"))
-    return tree.join(roots, "code").select(*tree.columns, F.col("m.ancestor").alias("root_code"), (F.col("m.up") + 1).alias("depth"))
+    """Adds root_code and depth (1 at a root): the nearest orphan at or above a code, or else its first part, is the root.
+
+    Only codes below orphans have anything to look for: prefixes meet the orphans alone, which AQE broadcasts where they are few.
+    """
+    orphans = tree.filter("is_orphan").select(F.col("code").alias("ancestor"))
+    above = ancestors(tree).filter(F.contains("ancestor", F.lit("-"))).join(orphans, "ancestor").groupBy("code").agg(F.min(F.struct("up", "ancestor")).alias("_m"))
+    found = tree.join(above, "code", "left")
+    up = F.when(F.col("is_orphan"), 0).otherwise(F.coalesce("_m.up", codes.dashes(F.col("code"))))
+    root = F.when(F.col("is_orphan"), F.col("code")).otherwise(F.coalesce("_m.ancestor", codes.main_category(F.col("code"))))
+    return found.select(*tree.columns, root.alias("root_code"), (up + 1).cast("int").alias("depth"))
 
 
 def preorder(tree: DataFrame) -> DataFrame:
@@ -105,13 +114,110 @@ def missing_parents(rows: DataFrame) -> DataFrame:
 
 
 def limited(tree: DataFrame, max_depth: int, max_children: int) -> DataFrame:
+    """Codes down to max_depth, the first max_children of each parent; all roots stay, and are not ranked."""
+    near = with_depth(tree).filter(F.col("depth") <= max_depth)
     place = Window.partitionBy("tree_parent").orderBy("code")
-    return with_depth(tree).filter(F.col("depth") <= max_depth).withColumn("_k", F.row_number().over(place)).filter((F.col("_k") <= max_children) | (F.col("tree_parent") == "")).drop("_k")
+    below = near.filter(F.col("tree_parent") != "").withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= max_children).drop("_k")
+    return near.filter(F.col("tree_parent") == "").unionByName(below)
+
+
+def sorted_children(tree: DataFrame) -> DataFrame:
+    """code, children (sorted codes) of each parent; roots have no parent, so they are no one's children."""
+    return tree.filter(F.col("tree_parent") != "").groupBy(F.col("tree_parent").alias("code")).agg(F.array_sort(F.collect_list("code")).alias("children"))
+
+
+def breadth_first(tree: DataFrame) -> DataFrame:
+    return with_depth(tree).orderBy("depth", "root_code", "code")
+
+
+def at_level(tree: DataFrame, depth: int) -> DataFrame:
+    return with_depth(tree).filter(F.col("depth") == depth)
+
 
+def found(tree: DataFrame, *conditions: Column) -> DataFrame:
+    """Nodes that meet all conditions, in depth-first order."""
+    out = with_depth(tree)
+    for c in conditions:
+        out = out.filter(c)
+    return out.orderBy("root_code", "code")
 
-def merged(left: DataFrame, right: DataFrame, how: str = "first") -> DataFrame:
-    """Union (first or last wins) or intersection of two code lists of one schema."""
+
+def tree_statistics(tree: DataFrame) -> DataFrame:
+    """Nodes, leaves, depths, children and orphans of a whole tree."""
+    rows = with_depth(tree).join(children_count(tree), "code", "left")
+    n = F.count(F.lit(1))
+    return rows.agg(
+        n.alias("n_nodes"), F.count(F.when(F.col("n_children").isNull(), 1)).alias("n_leaves"), F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_depth"), F.coalesce(F.max("n_children"), F.lit(0)).alias("max_children"),
+        F.coalesce(F.avg("n_children"), F.lit(0.0)).alias("avg_children"), F.count(F.when(F.col("is_orphan"), 1)).alias("n_orphans"),
+    )
+
+
+def pruned(tree: DataFrame, max_depth: int | None = None, min_children: int = 0, keep_levels: tuple | None = None, empty: bool = False, orphans: bool = False, keep: Column | None = None) -> DataFrame:
+    """A tree without the nodes that an option takes, and without what then hangs below them.
+
+    max_depth and keep_levels (depths) are looked at by depth; min_children spares leaves; empty takes nodes without
+    a name, orphans those whose parent is missing; keep is any condition of a node.
+    """
+    rows = with_depth(tree).join(children_count(tree), "code", "left")
+    gone = F.lit(False)
+    if max_depth is not None:
+        gone = gone | (F.col("depth") > max_depth)
+    if keep_levels is not None:
+        gone = gone | ~F.col("depth").isin(*keep_levels)
+    if min_children:
+        gone = gone | (F.coalesce("n_children", F.lit(min_children)) < min_children)
+    if empty:
+        gone = gone | (F.coalesce("name", F.lit("")) == "")
+    if orphans:
+        gone = gone | F.col("is_orphan")
+    if keep is not None:
+        gone = gone | ~keep
+    marked = rows.withColumn("_gone", gone)
+    lost = ancestors(marked).join(marked.filter("_gone").select(F.col("code").alias("ancestor")), "ancestor", "left_semi").select("code").distinct()
+    return marked.filter(~F.col("_gone")).join(lost, "code", "left_anti").select(*tree.columns)
+
+
+def split_up(rows: DataFrame, by: str, size: int = 1000, column: str | None = None) -> DataFrame:
+    """Adds part: by "size" the lot of size codes that a code's place falls into, by "level" its dashes, by "property" a column."""
+    if by == "level":
+        return rows.withColumn("part", codes.dashes(F.col("code")).cast("string"))
+    if by == "property":
+        return rows.withColumn("part", F.col(column).cast("string"))
+    if by != "size":
+        raise ValueError(f"rows are not split by {by!r}")
+    whole = O.numbered(rows.withColumn("_all", F.lit(0)), ["_all"], F.col("seq"), name="_n")
+    return whole.withColumn("part", F.floor((F.col("_n") - 1) / size).cast("string")).drop("_all", "_n")
+
+
+#: What becomes of a code that both lists have with other contents.
+CONFLICTS = {"skip": "first", "overwrite": "last"}
+
+
+def merged(left: DataFrame, right: DataFrame, how: str = "union", conflict: str = "skip") -> DataFrame:
+    """Two code lists of one schema as one: their union, their intersection, or the codes of the first or the last with any.
+
+    A code of both keeps the left row (conflict="skip"), gets the right one ("overwrite"), or stops the query where
+    the rows differ ("error"). how="first" and "last" are unions that skip and overwrite.
+    """
     if how == "intersection":
-        return left.join(right.select("code"), "code", "left_semi")
+        left, right = (a.join(b.select("code"), "code", "left_semi") for a, b in ((left, right), (right, left)))
+    wins = how if how in ("first", "last") else CONFLICTS.get(conflict, "first")
     both = left.withColumn("_s", F.lit(0)).unionByName(right.withColumn("_s", F.lit(1)))
-    return (first_wins if how == "first" else last_wins)(both, order="_s").drop("_s")
+    if conflict != "error":
+        return (first_wins if wins == "first" else last_wins)(both, order="_s").drop("_s")
+    others = [c for c in left.columns if c != "code"]
+    sides = both.groupBy("code").agg(F.min(F.struct("_s", *others)).alias("_row"), F.count(F.lit(1)).alias("_n"), F.min(F.struct(*others)).alias("_a"), F.max(F.struct(*others)).alias("_b"))
+    stop = F.raise_error(F.concat(F.lit("rows differ for code "), F.col("code")))
+    return sides.withColumn("code", F.when(~F.col("_a").eqNullSafe(F.col("_b")), stop).otherwise(F.col("code"))).select(*[F.col(c) if c == "code" else F.col(f"_row.{c}") for c in left.columns])
+
+
+def in_prefixes(rows: DataFrame, depth: int = 2) -> DataFrame:
+    """prefix, items: the rows (code, name) below each prefix of depth parts, by code; depth bounds a group's size."""
+    groups = rows.groupBy(F.substring_index("code", "-", depth).alias("prefix")).agg(F.array_sort(F.collect_list(F.struct("code", "name"))).alias("items"))
+    return groups
+
+
+def small_of_details(rows: DataFrame) -> DataFrame:
+    """Detail codes (three dashes, digits after the last) with the code and name of the class that they are right below."""
+    small = rows.select(F.col("code").alias("small"), F.col("name").alias("small_name"))
+    return rows.filter(codes.dashes(F.col("code")) == 3).withColumn("small", codes.parent_code(F.col("code"))).join(small, "small").filter(codes.is_detail_of(F.col("code"), F.col("small")))

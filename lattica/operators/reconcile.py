@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.hierarchy import last_wins
+from lattica.functions import codes, text
+from lattica.operators.hierarchy import first_wins, last_wins
 
 BASE = 0.8  # fixed value: share of a source's confidence that is kept
 
@@ -35,6 +36,33 @@ def confidence(rule: Column, pdf: Column) -> Column:
     return F.when((rule > 0) & (pdf > 0), BASE * (rule + pdf) / 2).when(rule > 0, BASE * rule).when(pdf > 0, BASE * pdf * 0.8).otherwise(F.lit(BASE))
 
 
+def from_pdf(found: DataFrame) -> DataFrame:
+    """Items of a PDF (code, name, level, confidence) as cleaned items of their source."""
+    return found.select("code", "name", "level", "confidence", F.lit("pdf_direct").alias("source"), F.lit("data_mapper").alias("processed_by"))
+
+
+def transformed(choices: DataFrame, answers: DataFrame) -> DataFrame:
+    """Choices (pos, code, rule_name, rule_confidence, parent_code, level) with the name and source that the answer (pos, answer) of their place gives, if it is JSON that has them as texts."""
+    reply = F.from_json("answer", "map<string,string>")
+    text_of = lambda k: F.when(F.get_json_object("answer", f"$.{k}").isNotNull() & F.col("answer").rlike(rf'"{k}"\s*:\s*"'), F.try_element_at(reply, F.lit(k)))
+    own = answers.select("pos", text_of("name").alias("_name"), text_of("selected_from").alias("selected_from"))
+    return choices.join(own, "pos", "left").select("pos", "code", F.coalesce("_name", "rule_name").alias("name"), "level", "parent_code", F.lit("semantic_transform").alias("source"), F.col("rule_confidence").alias("confidence"), "selected_from")
+
+
+def staged(items: DataFrame) -> DataFrame:
+    """Items (seq, code, name) grouped by major class, cleaned, validated and merged: names are normalised, items without
+    a code or a name go, the first of equal codes stays, and groups follow each other by prefix."""
+    grouped = items.withColumn("prefix", codes.main_category(F.col("code")))
+    cleaned = grouped.withColumn("name", text.normalized_name(F.col("name")))
+    valid = cleaned.filter(text.has_value(F.col("code")) & text.has_value(F.col("name")))
+    return in_groups(first_wins(valid))
+
+
+def in_groups(rows: DataFrame) -> DataFrame:
+    """Rows of all groups, by prefix and then in their own order."""
+    return rows.orderBy("prefix", "seq")
+
+
 def chosen(choices: DataFrame, answers: DataFrame) -> DataFrame:
     """Choices with the answer's name, or the rule's with confidence 0.5 where there is no answer."""
     out = choices.join(answers, "code", "left")

@@ -12,8 +12,23 @@ MOST_BYTES, FONT_PAGES, METADATA, MOST_SIZES = 50 << 20, 5, ("Title", "Author",
 
 
 def file_errors(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
-    """Adds errors: too large, empty."""
-    return files.withColumn("errors", F.array_compact(F.array(F.when(F.col("length") > most, "too large"), F.when(F.col("length") == 0, "empty"))))
+    """Adds errors: missing (a null length), too large, empty."""
+    return files.withColumn("errors", F.array_compact(F.array(F.when(F.col("length").isNull(), "missing"), F.when(F.col("length") > most, "too large"), F.when(F.col("length") == 0, "empty"))))
+
+
+def expected(names: DataFrame, files: DataFrame) -> DataFrame:
+    """Files by the names wanted, with a null length for those that are not there."""
+    return names.join(files, "name", "left")
+
+
+def page_info(pages: DataFrame) -> DataFrame:
+    """Facts of each page (from 1): size, length of its text, whether it has images."""
+    return pages.select("doc", (F.col("page_num") + 1).alias("page_number"), "width", "height", F.length(F.coalesce("text", F.lit(""))).alias("text_length"), (F.coalesce(F.size("images"), F.lit(0)) > 0).alias("has_images"))
+
+
+def accessibility(facts: DataFrame) -> DataFrame:
+    """Whether a document has a structure (contents), and what is missing; tags, texts of images and reading order are not known."""
+    return facts.select("doc", F.col("has_toc").alias("has_structure"), F.array_compact(F.array(F.when(~F.col("has_toc"), "no structure"))).alias("issues"))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -66,3 +81,8 @@ def integrity(pages: DataFrame) -> DataFrame:
 def images(pages: DataFrame) -> DataFrame:
     """A row for each image of a page."""
     return pages.select("doc", "page_num", F.posexplode("images").alias("image_index", "image")).select("doc", "page_num", "image_index", "image.*")
+
+
+def by_type(errors: DataFrame, kind: str) -> DataFrame:
+    """Errors (..., error) of a kind."""
+    return errors.filter(F.col("error") == kind)

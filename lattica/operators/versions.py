@@ -49,6 +49,27 @@ def replaced(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.join(new.select("task_id"), "task_id", "left_anti").unionByName(new)
 
 
+def stamped(new: DataFrame, batch_id, batch_ts) -> DataFrame:
+    """New rows with the version's fields filled in where they have none, and current."""
+    has = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in new.columns else F.lit(v)
+    return new.withColumns({"batch_id": has("batch_id", batch_id), "batch_ts": has("batch_ts", batch_ts), "is_current": F.lit(True)})
+
+
+def by_status(rows: DataFrame, task_id, status: str) -> DataFrame:
+    return rows.filter((F.col("task_id") == task_id) & (F.col("status") == status)).orderBy("code")
+
+
+def unfilled(rows: DataFrame, column: str) -> DataFrame:
+    return rows.filter(F.coalesce(F.col(column), F.lit("")) == "")
+
+
+def filled(rows: DataFrame, better: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is empty take it from better's row of the code; others stay as they are."""
+    own = better.groupBy("code").agg(F.min(F.nullif(F.col(column), F.lit(""))).alias("_new"))
+    empty = F.coalesce(F.col(column), F.lit("")) == ""
+    return rows.join(own, "code", "left").withColumn(column, F.when(empty, F.coalesce("_new", F.col(column))).otherwise(F.col(column))).select(*rows.columns)
+
+
 def updated(rows: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with non-null columns of changes set, by task and code; one change a key."""
     own = changes.select("task_id", "code", *[F.col(c).alias(f"_{c}") for c in columns])
@@ -70,3 +91,7 @@ def recent_limit(limit: int | None) -> int:
 
 def first_of_each(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
+
+
+def status_distribution(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -80,10 +80,9 @@ def _(spark, d):
     return H.with_depth(_tree(spark, d)).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("hr07_sorted_children", f"{_TREE} SELECT tree_parent, string_agg(code, ',' ORDER BY code) AS children FROM tree WHERE parts <= 2 GROUP BY 1")
+@_query("hr07_sorted_children", f"{_TREE} SELECT tree_parent AS code, string_agg(code, ',' ORDER BY code) AS children FROM tree WHERE tree_parent <> '' GROUP BY 1")
 def _(spark, d):
-    rows = _tree(spark, d).filter(codes.dashes(F.col("code")) <= 1)
-    return rows.groupBy("tree_parent").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("children"))
+    return H.sorted_children(_tree(spark, d)).withColumn("children", F.array_join("children", ","))
 
 
 @_query("hr10_merge_first", f"{_TAX} SELECT code, name FROM tax WHERE parts <= 3 UNION ALL SELECT 'x' || code, name FROM tax WHERE parts = 2")
@@ -94,6 +93,33 @@ def _(spark, d):
     return H.merged(rows, other.withColumn("name", F.when(F.startswith("code", F.lit("x")), F.col("name")).otherwise("other")))
 
 
+@_query("hr10_merge_overwrite", f"{_TAX} SELECT code, CASE WHEN parts = 2 THEN 'other' ELSE name END AS name FROM tax WHERE parts <= 3")
+def _(spark, d):
+    rows = W.tax(spark, d).filter(codes.dashes(F.col("code")) <= 2).select("code", "name")
+    return H.merged(rows, rows.filter(codes.dashes(F.col("code")) == 1).withColumn("name", F.lit("other")), conflict="overwrite")
+
+
+@_query("hr10_pruned", f"{_DEPTH}, gone AS (SELECT code FROM depths WHERE is_orphan OR code = '2-11' OR depth > 3) SELECT code, name FROM depths d WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.code = d.code OR starts_with(d.code, g.code || '-'))")
+def _(spark, d):
+    return H.pruned(_tree(spark, d), max_depth=3, orphans=True, keep=F.col("code") != "2-11").select("code", "name")
+
+
+@_query("hr13_split_by_size", f"{_TAX} SELECT part, count(*) AS n FROM (SELECT cast((row_number() OVER (ORDER BY seq) - 1) // 1000 AS VARCHAR) AS part FROM tax) GROUP BY 1")
+def _(spark, d):
+    return H.split_up(W.tax(spark, d), "size", 1000).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("hr13_split_by_level", f"{_TAX} SELECT cast(parts - 1 AS VARCHAR) AS part, count(*) AS n FROM tax GROUP BY 1")
+def _(spark, d):
+    return H.split_up(W.tax(spark, d), "level").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("ag27_tree_statistics", f"""{_DEPTH}, k AS (SELECT tree_parent, count(*) AS n FROM tree WHERE tree_parent <> '' GROUP BY 1) SELECT count(*) AS n_nodes, count(CASE WHEN k.n IS NULL THEN 1 END) AS n_leaves, cast(max(depth) AS INTEGER) AS max_depth, avg(depth) AS avg_depth,
+  max(k.n) AS max_children, avg(k.n) AS avg_children, count(CASE WHEN is_orphan THEN 1 END) AS n_orphans FROM depths LEFT JOIN k ON code = k.tree_parent""")
+def _(spark, d):
+    return H.tree_statistics(_tree(spark, d))
+
+
 @_query("hr13_intersection", f"{_TAX} SELECT code, name FROM tax WHERE parts = 2")
 def _(spark, d):
     rows = W.tax(spark, d).select("code", "name")
@@ -160,10 +186,10 @@ _DASHES = "(length(code) - length(replace(code, '-', '')))"
 @_query("fn08_16_code_functions", f"""{_TAX}, {_BAD} SELECT seq, CASE {_DASHES} WHEN 0 THEN '大类' WHEN 1 THEN '中类' WHEN 2 THEN '小类' WHEN 3 THEN '细类' ELSE '未知级别' END AS level_of,
   CASE {_DASHES} WHEN 0 THEN '大类' WHEN 1 THEN '中类' WHEN 2 THEN '小类' WHEN 3 THEN '细类' ELSE '未知层级' END AS level_name, CASE {_DASHES} WHEN 0 THEN '大类' WHEN 1 THEN '中类' WHEN 2 THEN '小类' ELSE '细类' END AS by_parts,
   CASE {_DASHES} WHEN 0 THEN '大类' WHEN 1 THEN '中类' WHEN 2 THEN '小类' ELSE '' END AS skeleton, CASE WHEN code = '' THEN -1 ELSE {_DASHES} END::INTEGER AS level_int, regexp_extract(code, '^(.*)-[^-]*$', 1) AS parent_code,
-  string_split(code, '-')[1] AS main_category, regexp_matches(code, '^[0-9]+(-[0-9]+)*$') AS is_valid FROM bad""")
+  string_split(code, '-')[1] AS main_category, regexp_matches(code, '^[0-9]+(-[0-9]+)*$') AS is_valid, regexp_matches(code, '^1-05-[0-9]+$') AS is_detail FROM bad""")
 def _(spark, d):
     c = F.col("code")
-    return _bad(spark, d).select("seq", codes.level_of(c).alias("level_of"), codes.level_name(codes.dashes(c)).alias("level_name"), codes.level_of_parts(c).alias("by_parts"), codes.level_of_skeleton(c).alias("skeleton"), codes.level_int(c).cast("int").alias("level_int"), codes.parent_code(c).alias("parent_code"), codes.main_category(c).alias("main_category"), codes.is_valid_code(c).alias("is_valid"))
+    return _bad(spark, d).select("seq", codes.level_of(c).alias("level_of"), codes.level_name(codes.dashes(c)).alias("level_name"), codes.level_of_parts(c).alias("by_parts"), codes.level_of_skeleton(c).alias("skeleton"), codes.level_int(c).cast("int").alias("level_int"), codes.parent_code(c).alias("parent_code"), codes.main_category(c).alias("main_category"), codes.is_valid_code(c).alias("is_valid"), codes.is_detail_of(c, F.lit("1-05")).alias("is_detail"))
 
 
 @_query("flt15_validation_errors", f"""{_TAX}, {_BAD} SELECT code, error, count(*) AS n FROM (SELECT code, unnest([CASE WHEN code = '' THEN 'code:required' END, CASE WHEN name = '' THEN 'name:required' END, CASE WHEN {_DASHES} > 3 THEN 'level:enum' END,
@@ -224,6 +250,50 @@ def _(spark, d):
     return S.records(W.cells(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+# Each cell that is not junk names the class "k-nn" in its second column; rows divisible by 3 name a major and a small class too.
+_HYBRID = f"""WITH {W.CELLS_SQL}, l AS (SELECT row_idx, string_split(e, chr(10)) AS c, string_split(f, chr(10)) AS m FROM cells WHERE n > 5 AND e <> '' AND f <> ''),
+found AS (SELECT '1-01-' || lpad(cast(row_idx % 90 AS VARCHAR), 2, '0') AS small, row_idx, cast(i AS INTEGER) - 1 AS pos, c[i] AS code, trim(m[i]) AS name FROM l, unnest(range(1, least(len(c), len(m)) + 1)) AS u(i)),
+smalls AS (SELECT '1-01-' || lpad(cast(row_idx % 90 AS VARCHAR), 2, '0') AS code, count(*) AS n FROM cells WHERE NOT junk AND row_idx % 3 = 0 GROUP BY 1)"""
+
+
+def _hybrid_cells(spark, d):
+    k = F.col("row_idx")
+    third = F.when(k % 3 == 0, F.concat(F.lit("第三大类 3 (GBM 300) 生产 人员")))
+    fourth = F.when(k % 3 == 0, F.concat(F.lit("1-01-"), F.lpad((k % 90).cast("string"), 2, "0"), F.lit(" (GBM 7) 小 类")))
+    cells = F.concat(F.slice("cells", 1, 2), F.array(F.coalesce(third, F.lit("")), F.coalesce(fourth, F.lit(""))), F.slice("cells", 5, 2))
+    return W.cells(spark, d).select("row_idx", F.when(F.size("cells") > 5, cells).otherwise(F.col("cells")).alias("cells"))
+
+
+@_query("src02_hybrid_scan", f"""{_HYBRID}, s AS (SELECT code FROM smalls WHERE EXISTS (SELECT 1 FROM cells WHERE NOT junk AND row_idx % 3 = 0 AND n > 5 AND '1-01-' || lpad(cast(row_idx % 90 AS VARCHAR), 2, '0') = smalls.code))
+SELECT 'rows' AS what, count(*) AS n FROM cells UNION ALL SELECT 'skeleton', count(*) + 2 * count(CASE WHEN row_idx % 3 = 0 AND n > 5 THEN 1 END) FROM cells WHERE NOT junk UNION ALL SELECT 'tasks', count(DISTINCT small) FROM found WHERE small IN (SELECT code FROM s)""")
+def _(spark, d):
+    return S.hybrid(_hybrid_cells(spark, d))[2]
+
+
+@_query("st03_fn06_07_skeleton_cells", f"""WITH {W.CELLS_SQL}, t AS (SELECT * FROM cells WHERE NOT junk)
+SELECT row_idx, 1 AS col, (row_idx % 8 + 1) || '-' || lpad(cast(row_idx % 100 AS VARCHAR), 2, '0') AS code, 0::BIGINT AS gbm, 'name' AS name, '中类' AS level FROM t
+UNION ALL SELECT row_idx, 2, '3', 300, '生产人员', '大类' FROM t WHERE row_idx % 3 = 0 AND n > 5 UNION ALL SELECT row_idx, 3, '1-01-' || lpad(cast(row_idx % 90 AS VARCHAR), 2, '0'), 7, '小类', '小类' FROM t WHERE row_idx % 3 = 0 AND n > 5""")
+def _(spark, d):
+    return S.skeleton_of_cells(_hybrid_cells(spark, d)).drop("pos")
+
+
+@_query("ag23_task_packs", f"""{_HYBRID} SELECT small AS parent_code, '小类' AS parent_name, string_agg(code, ',' ORDER BY row_idx, pos) AS codes, string_agg(name, ',' ORDER BY row_idx, pos) AS names FROM found
+WHERE small IN (SELECT '1-01-' || lpad(cast(row_idx % 90 AS VARCHAR), 2, '0') FROM cells WHERE NOT junk AND row_idx % 3 = 0 AND n > 5) GROUP BY 1""")
+def _(spark, d):
+    return S.hybrid(_hybrid_cells(spark, d))[1].withColumns({c: F.array_join(c, ",") for c in ("codes", "names")})
+
+
+@_query("gn07_row_pairs", f"""WITH {W.CELLS_SQL}, l AS (SELECT row_idx, string_split(e, chr(10)) AS c, string_split(f, chr(10)) AS m FROM cells WHERE n > 5 AND e <> '' AND f <> '')
+SELECT row_idx, cast(i AS INTEGER) - 1 AS pos, c[i] AS code, trim(m[i]) AS name FROM l, unnest(range(1, least(len(c), len(m)) + 1)) AS u(i)""")
+def _(spark, d):
+    return S.row_pairs(W.cells(spark, d))
+
+
+@_query("fn04_parse_cell_hybrid", f"WITH {W.CELLS_SQL} SELECT row_idx, cast(row_idx % 8 + 1 AS VARCHAR) AS code, cast(row_idx * 10 AS VARCHAR) AS gbm_code, 'Parttail 2' AS name FROM cells WHERE NOT junk")
+def _(spark, d):
+    return W.cells(spark, d).select("row_idx", text.parsed_cell(F.get("cells", F.lit(0)), "").alias("p")).filter("p is not null").select("row_idx", "p.*")
+
+
 _V = f"WITH {W.VERSIONS_SQL}"
 
 
@@ -279,7 +349,7 @@ def _(spark, d):
 
 @_query("ag02_status_distribution", f"{_V} SELECT status, count(*) AS n FROM v GROUP BY status")
 def _(spark, d):
-    return W.versions(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return V.status_distribution(W.versions(spark, d))
 
 
 @_query("tk01_tasks_page", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -410,7 +480,7 @@ def _(spark, d):
 
 @_query("ag21_hourly", f"{_L} SELECT date_trunc('hour', ts) AS period, count(*) AS n, cast(sum(duration) AS BIGINT) AS sum_duration FROM log GROUP BY 1")
 def _(spark, d):
-    return M.hourly(W.log(spark, d))
+    return M.periods(W.log(spark, d)).select("period", "n", "sum_duration")
 
 
 @_query("wn12_recent_100", f"{_L} SELECT seq, stage FROM log ORDER BY seq DESC LIMIT 100")
@@ -448,12 +518,7 @@ def _(spark, d):
 
 @_query("wn13_batches", f"{_K} SELECT queue, (k - 1) // 10 AS batch, count(*) AS n FROM (SELECT queue, row_number() OVER (PARTITION BY queue ORDER BY task_id) AS k FROM tasks) GROUP BY ALL")
 def _(spark, d):
-    return M.batches(W.tasks(spark, d), "queue", ["task_id"], 10).groupBy("queue", "batch").agg(F.count(F.lit(1)).alias("n"))
-
-
-@_query("ag18_status_pivot", f"{_K} SELECT queue, count(CASE WHEN priority = 'urgent' THEN 1 END) AS urgent, count(CASE WHEN priority = 'high' THEN 1 END) AS high FROM tasks GROUP BY queue")
-def _(spark, d):
-    return W.tasks(spark, d).groupBy("queue").agg(F.count(F.when(F.col("priority") == "urgent", 1)).alias("urgent"), F.count(F.when(F.col("priority") == "high", 1)).alias("high"))
+    return M.batches(W.tasks(spark, d), "queue", "task_id", 10).groupBy("queue", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("flt14_routing", f"{_K} SELECT task_id FROM tasks WHERE size >= 200 AND priority IN ('urgent', 'high') AND queue = 'user'")
@@ -484,9 +549,10 @@ def _(spark, d):
     return rows.select("seq", part.alias("found"), F.coalesce(F.get_json_object(part, "$[0].k"), F.get_json_object(part, "$.k")).cast("long").alias("k"))
 
 
-@_query("ag22_group_by_prefix", f"{_TAX} SELECT string_split(code, '-')[1] AS prefix, count(*) AS n, min(code) AS first_code, max(code) AS last_code FROM tax GROUP BY 1")
+@_query("ag22_group_by_prefix", f"{_TAX} SELECT array_to_string(string_split(code, '-')[1:2], '-') AS prefix, count(*) AS n, string_agg(code || ' ' || name, ',' ORDER BY code) AS items FROM tax GROUP BY 1")
 def _(spark, d):
-    return W.tax(spark, d).groupBy(codes.main_category(F.col("code")).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"), F.max("code").alias("last_code"))
+    items = F.array_join(F.transform("items", lambda x: F.concat(x["code"], F.lit(" "), x["name"])), ",")
+    return H.in_prefixes(W.tax(spark, d)).select("prefix", F.size("items").cast("long").alias("n"), items.alias("items"))
 
 
 @_query("st06_except", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -496,7 +562,7 @@ def _(spark, d):
 
 @_query("fn32_md5", "SELECT doc_id, md5(text) AS hash FROM documents")
 def _(spark, d):
-    return W.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
+    return W.table(spark, d, "documents").select("doc_id", text.md5_hex(F.col("text")).alias("hash"))
 
 
 @_query("flt16_rate_limited", f"{_L} SELECT seq, seq % 3 = 0 OR seq % 5 = 0 AS limited FROM log")

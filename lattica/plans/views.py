@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tax(spark: SparkSession, d: str, orphans: bool = False) -> DataFrame:
     """seq, code, name: regions, nations, customers and orders as four levels; with orphans some nations are missing."""
     region = table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("string").alias("c1"), "r_regionkey", "r_name")
-    nation = table(spark, d, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("-", "c1", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("c2"), "n_nationkey", "n_name")
-    customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("-", "c2", F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("c3"), "c_custkey", "c_name")
+    nation = table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("-", "c1", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("c2"), "n_nationkey", "n_name")
+    customer = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("-", "c2", F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("c3"), "c_custkey", "c_name")
     orders = table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.concat_ws("-", "c3", F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("c4"), "o_orderkey", "o_orderpriority")
     shown = nation.filter(F.col("n_nationkey") % 7 != 0) if orphans else nation
     level = lambda df, k, key, code, name: df.select((F.lit(k * 10**10) + F.col(key)).alias("seq"), F.col(code).alias("code"), F.col(name).alias("name"))
@@ -67,7 +67,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     lines = docs.select(F.col("source").alias("task_id"), F.col("doc_id").alias("page_num"), F.posexplode(F.split("text", "\n")).alias("block_num", "line")).filter(F.regexp_replace("line", r"[ \t\n\f\r]", "") != "")
     k, n = F.col("block_num"), F.length("line")
     code = F.concat(F.lit("1-"), F.lpad((n % 90 + 10).cast("string"), 2, "0"), F.lit("-0"), (k % 9).cast("string"), F.lit("-01"))
-    content = F.when(k % 5 == 0, F.concat(code, F.lit(" x"))).when(k % 5 == 1, F.concat(F.lit("技术员"), k.cast("string"))).otherwise(F.substring("line", 1, 80))
+    content = F.when(k % 5 == 0, F.concat(code, F.lit(" x"))).when(k % 5 == 1, F.concat(F.lit("技术员"), k.cast("string"))).otherwise(F.col("line"))
     return lines.select(
         "task_id", "page_num", "block_num", content.alias("text"), ((k * 7) % 80).cast("double").alias("x0"), (F.floor(k / 2) * 12).cast("double").alias("y0"), ((k * 7) % 80 + 100).cast("double").alias("x1"), (F.floor(k / 2) * 12 + 10).cast("double").alias("y1"),
         F.concat(F.lit("f"), (n % 3).cast("string")).alias("font"), (8 + n % 5).cast("double").alias("font_size"), F.when(k % 4 == 0, 16).otherwise(0).alias("flags"),
@@ -76,7 +76,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 BLOCKS_SQL = r"""lines AS (SELECT source AS task_id, doc_id AS page_num, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_num FROM documents),
 b0 AS (SELECT *, length(line) AS n, block_num AS k FROM lines WHERE regexp_replace(line, '[ \t\n\f\r]', '', 'g') <> ''),
-blocks AS (SELECT task_id, page_num, block_num, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01 x' WHEN k % 5 = 1 THEN '技术员' || k ELSE left(line, 80) END AS text,
+blocks AS (SELECT task_id, page_num, block_num, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01 x' WHEN k % 5 = 1 THEN '技术员' || k ELSE line END AS text,
   (k * 7) % 80 AS x0, (k // 2) * 12 AS y0, (k // 2) * 12 + 5 AS yc, 'f' || (n % 3) AS font, 8 + n % 5 AS font_size, k % 4 = 0 AS is_bold, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01' END AS code FROM b0)"""
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +26,43 @@ def is_local(path: Column) -> Column:
 
 def fits_type(name: Column, kinds: tuple[str, ...] = ("xlsx", "xls")) -> Column:
     return F.lower(name).rlike(rf"\.({'|'.join(kinds)})\z")
+
+
+def stat(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """name, path, length, modified, etag (of what is known without reading) and type of all files below root."""
+    files = listed(spark, root, pattern)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("name"), "path", "length", "modified", F.md5(F.concat_ws(":", "path", "length", "modified").cast("binary")).alias("etag"), F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1)).alias("type"))
+
+
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one object; what stands there is replaced."""
+    store, own = _file(spark, path)
+    out = store.create(own, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes an object or a folder; false if there is none."""
+    store, own = _file(spark, path)
+    return store.delete(own, True)
+
+
+def presigned(path: str, key: bytes, expires: int) -> str:
+    """A link that holds until expires (seconds since 1970), signed by HMAC-SHA256."""
+    return f"{path}?expires={expires}&signature={hmac.new(key, f'{path}:{expires}'.encode(), hashlib.sha256).hexdigest()}"
+
+
+def is_signed(link: str, key: bytes, now: int) -> bool:
+    path, _, rest = link.partition("?expires=")
+    expires = rest.partition("&")[0]
+    return expires.isdigit() and now <= int(expires) and hmac.compare_digest(presigned(path, key, int(expires)), link)

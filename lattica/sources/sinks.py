@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.sources import objects
+
 
 def appended(rows: DataFrame, path: str, by: list[str] | None = None, most: int = 1_000_000) -> None:
     """Adds rows to a table; a file has most rows at the most."""
@@ -24,3 +29,31 @@ def without_task(rows: DataFrame, tasks: DataFrame, key: str = "task_id") -> Dat
 def json_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     """value: each row as a JSON object of columns, nulls left out."""
     return rows.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def without_objects(rows: DataFrame, tasks: DataFrame, column: str, key: str = "task_id") -> DataFrame:
+    """without_task(), and the objects that the rows taken out name in column are deleted; each is one call of the driver's store."""
+    gone = rows.join(tasks.select(key).distinct(), key, "left_semi").filter(F.col(column).isNotNull()).select(column).distinct()
+    for row in gone.toLocalIterator():
+        objects.delete(rows.sparkSession, row[0])
+    return without_task(rows, tasks, key)
+
+
+def enqueued(rows: DataFrame, path: str) -> None:
+    """Adds tasks (queue, ...) to the queues below path, a folder each, from which dequeued() streams them."""
+    rows.write.mode("append").partitionBy("queue").parquet(path)
+
+
+def fan_out(events: DataFrame, listeners: list[Callable[[DataFrame], None]], checkpoint: str):
+    """Starts a stream that hands each batch of events to all listeners; one that fails does not keep the others from it."""
+
+    def hand(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        for listener in listeners:
+            try:
+                listener(batch)
+            except Exception as e:
+                print(f"listener failed: {e}", file=sys.stderr)
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(hand).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -115,3 +115,8 @@ def sheet_rows(spark: SparkSession, root: str, sheet: str | None = None, lot: in
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(root)
     return files.select("path", "content").mapInPandas(run, XlsxSource.schema(None))
+
+
+def parse(stream) -> None:
+    """Sheets are read from paths; a stream is refused, whatever it holds."""
+    raise NotImplementedError("sheets are read from a path")

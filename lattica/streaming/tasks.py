@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: States that a task does not leave.
 TERMINAL = ("completed", "failed", "cancelled")
@@ -27,3 +28,10 @@ def latest_states(events: DataFrame) -> DataFrame:
 def kept(states: DataFrame, now, ttl_seconds: int = 3600) -> DataFrame:
     """States but for those that ended more than ttl_seconds before now."""
     return states.filter(~(F.col("status").isin(*TERMINAL) & (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("ts") > ttl_seconds)))
+
+
+def dequeued(spark: SparkSession, path: str, schema: StructType, queue: str | None = None, files: int = 1) -> DataFrame:
+    """A stream of the tasks that sinks.enqueued() puts below path, files at a time, oldest first; keys that have ended are left out."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(path)
+    rows = rows if queue is None else rows.filter(F.col("queue") == queue)
+    return rows.filter(F.col("expires") > F.current_timestamp()) if "expires" in rows.columns else rows

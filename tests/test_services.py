@@ -50,7 +50,7 @@ def test_failed_calls_are_rows(spark):
             raise ValueError("no")
         return p * 2
 
-    got = {r.prompt: (r.answer, r.error) for r in answers.answered(spark.createDataFrame([("a",), ("bad",), ("a",)], "prompt string"), client).collect()}
+    got = {r.prompt: (r.answer, r.error) for r in answers.answered(spark.createDataFrame([("a",), ("bad",), ("a",)], "prompt string"), client, wait=lambda s: None).collect()}
     assert got == {"a": ("aa", None), "bad": (None, "no")}
 
 
