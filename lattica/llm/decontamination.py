@@ -2,14 +2,15 @@
 
 A task cuts its documents into shards, indexes each shard's words and searches all benchmark windows in
 it; nothing is shuffled. The index holds words of the benchmark's vocabulary; any run of other words is
-one separator, as no window can cross it. Windows travel to the tasks in blocks of at most BLOCK_BYTES of
-benchmark text; a larger benchmark takes several passes whose spans are merged by row.
+one separator, as no window can cross it. Windows travel to the tasks in blocks of at most about BLOCK_BYTES of
+benchmark text (or one longer item); a larger benchmark takes several passes whose spans are merged by row.
 
 Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words; an item without words has no windows; an item with a
 null id marks words but is not listed; items of the same id count once; repeated documents are judged
-each; an empty benchmark marks nothing; decontaminated() passes extra columns on.
+each; an empty benchmark marks nothing; decontaminated() passes extra columns on. A text of any length is one piece
+of a shard; a task's memory follows a shard of SHARD_WORDS words or one longer text.
 """
 
 from __future__ import annotations
@@ -27,35 +28,51 @@ from .fm_index import FMIndex
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Windows:
-    """The distinct windows of some benchmark items as rows of symbols, and the items of each."""
-
-    def __init__(self, ids: list, texts: list[str], window: int):
-        hashed = kernel.text_hashes([t or "" for t in texts])
-        self.vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.empty(0, np.uint64)
-        rows, sizes, items = [], [], []
-        for k, h in enumerate(hashed):
-            s = np.searchsorted(self.vocabulary, h) + 1
-            size = min(window, len(s))
-            for at in range(len(s) - size + 1) if size else ():
-                rows.append(np.concatenate([np.zeros(window - size, np.int64), s[at : at + size]]))
-                sizes.append(size)
-                items.append(k)
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.patterns, group = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.empty(0, np.int64))
-        self.sizes = (self.patterns > 0).sum(axis=1)
+    """The distinct windows of some benchmark items, as ends and sizes in the row of all items' symbols, and the items of each.
+
+    A word of the benchmark takes some 26 bytes here, whatever the window.
+    """
+
+    def __init__(self, ids: list, texts: pa.Array, window: int):
+        hashed, of = [], []
+        for a, _, data, offsets in kernel.chunks(texts):
+            _, _, doc, h = kernel.word_hashes(data, offsets, kernel.ALNUM)
+            hashed.append(h)
+            of.append(doc + a)
+        h, of = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((hashed, np.uint64), (of, np.int64)))
+        del hashed
+        self.vocabulary, symbols = np.unique(h, return_inverse=True)
+        self.symbols = (symbols + 1).astype(np.int32)
+        del symbols
+        each = kernel.counts(of, len(ids))
+        size = np.minimum(each, window)
+        first = np.cumsum(each) - each
+        # A window ends at every word of an item but for the first size - 1.
+        last = np.flatnonzero(np.arange(len(of)) - first[of] >= size[of] - 1)
+        size = size[of[last]]
+        # Windows are equal where the hashes of their words are.
+        p, q = kernel._powers(len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(kernel.mix(h) * p[: len(h)], out=total[1:])
+        key = kernel.mix((total[last + 1] - total[last + 1 - size]) * q[last + 1 - size] + size.astype(np.uint64))
+        del total, h
+        _, where, group = np.unique(key, return_index=True, return_inverse=True)
+        place = np.int32 if len(of) < 1 << 31 else np.int64
+        self.last, self.sizes = last[where].astype(place), size[where].astype(np.int16)
         order = np.argsort(group, kind="stable")
-        self.item_of = np.array(items, np.int64)[order]
-        self.first = np.searchsorted(group[order], np.arange(len(self.patterns) + 1))
+        self.item_of = of[last][order].astype(np.int32)
+        self.first = np.searchsorted(group[order], np.arange(len(where) + 1)).astype(place)
         self.ids = ids
+        self.table_bytes = sum(x.nbytes for x in (self.vocabulary, self.symbols, self.last, self.sizes, self.item_of, self.first))
 
     def find(self, hashes: np.ndarray, doc: np.ndarray, n: int):
         """(hit flag of each word, item numbers of each document) for the words of one shard."""
         hit, found = np.zeros(len(hashes), bool), [()] * n
-        if not len(hashes) or not len(self.patterns):
+        if not len(hashes) or not len(self.last):
             return hit, found
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
@@ -72,7 +89,7 @@ class Windows:
         origin = np.full(len(seq), -1, np.int64)
         seq[spot], origin[spot] = symbol[word], word
         index = FMIndex(seq, len(self.vocabulary))
-        lo, hi = index.search(self.patterns, self.sizes)
+        lo, hi = index.search(self.symbols, self.last, self.sizes)
         some = np.flatnonzero(hi > lo)
         if not len(some):
             return hit, found
@@ -84,10 +101,10 @@ class Windows:
         np.add.at(cover, begin, 1)
         np.add.at(cover, begin + self.sizes[which], -1)
         hit = np.cumsum(cover[:-1]) > 0
-        pairs = np.unique(doc[begin] * len(self.patterns) + which)
-        owner, which = pairs // len(self.patterns), pairs % len(self.patterns)
+        pairs = np.unique(doc[begin] * len(self.last) + which)
+        owner, which = pairs // len(self.last), pairs % len(self.last)
         for d in np.unique(owner):
-            own = which[owner == d] if len(pairs) < 10_000 else which[np.searchsorted(owner, d) : np.searchsorted(owner, d, side="right")]
+            own = which[np.searchsorted(owner, d) : np.searchsorted(owner, d, side="right")]
             found[d] = np.unique(np.concatenate([self.item_of[self.first[w] : self.first[w + 1]] for w in own]))
         return hit, found
 
@@ -174,7 +191,10 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFra
 
 def _windows(spark: SparkSession, block: DataFrame, window: int):
     table = block.orderBy("item_id", "text").toArrow()
-    return spark.sparkContext.broadcast(Windows(table.column(0).to_pylist(), table.column(1).to_pylist(), window))
+    windows = Windows(table.column(0).to_pylist(), kernel.as_array(table.column(1)), window)
+    del table
+    kernel.release()
+    return spark.sparkContext.broadcast(windows)
 
 
 def _hits_of(rows: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:

@@ -126,14 +126,14 @@ class FMIndex:
         """How often each symbol stands before row at of the transform."""
         return self._descend(symbol, at) - self.base[symbol]
 
-    def search(self, patterns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) whose suffixes begin with each pattern (right-aligned rows, symbols over 0)."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for step in range(patterns.shape[1]):
+    def search(self, symbols: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) whose suffixes begin with each pattern: the sizes symbols (over 0) up to place last."""
+        lo, hi = np.zeros(len(last), np.int64), np.full(len(last), self.n, np.int64)
+        for step in range(int(sizes.max(initial=0))):
             act = np.flatnonzero((sizes > step) & (lo < hi))
             if not len(act):
                 break
-            c = patterns[act, -1 - step]
+            c = symbols[last[act] - step]
             lo[act] = self.C[c] + self.rank(c, lo[act])
             hi[act] = self.C[c] + self.rank(c, hi[act])
         return lo, hi
