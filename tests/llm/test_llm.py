@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, common, components, decontamination, licenses, lm_score, ngram_join, packing, quality_model, quality_rules, token_counts, token_files, tokens
+from lattica.llm import chat, common, components, decontamination, kernel, licenses, lm_score, ngram_join, packing, quality_model, quality_rules, token_counts, token_files, tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD, SOLID = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,7 +198,7 @@ def test_quality_model(spark):
     bad = ["BUY NOW!! " * int(n) for n in rng.integers(5, 30, 120)]
     docs = _docs(spark, [*good, *bad, "", None], extra=True)
     labels = spark.createDataFrame([(k, int(k < 120)) for k in range(240)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    got = quality_model.scored(docs.drop("score"), quality_model.fit(docs, labels)).collect()
+    got = quality_model.scored(docs, quality_model.fit(docs, labels)).withColumnRenamed("_score", "own").drop("score").withColumnRenamed("own", "score").collect()
     held = [r for r in got if r.doc_id < 240 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert len(held) > 40 and all((r.score >= 0.5) == (r.doc_id < 120) for r in held) and all(0 <= r.score <= 1 for r in got)
 
@@ -237,86 +237,63 @@ def test_decontaminated_judges_by_all_passes(spark):
     assert spans[0] == spans[1]
 
 
-def test_lm_score(spark):
-    texts = [t for t in _texts() for _ in range(3)]
-    train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
-    own = [[*SOLID.findall((t or "").translate(LOW)), None] for t in texts]
-    c = collections.Counter(w for k in train for w in own[k])
-    n, v = sum(c.values()), len(c)
-    docs = _docs(spark, texts, extra=True)
-    for r in lm_score.scored(docs, lm_score.train(docs, head=20)).collect():
-        w = own[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, r.doc_id not in train)
-        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
-
-
-def test_lm_code_is_a_probability(spark):
-    """The tree's leaves and the byte code satisfy Kraft's inequality, so no more than 1 is given away."""
-    v = lm_score.Vocabulary(np.arange(1, 500, dtype=np.uint64), np.arange(499, 0, -1), 7, 3)
-    assert (0.5**v.length).sum() <= 1 and (0.5**lm_score._BYTE_LENGTH).sum() <= 1
-    assert len({(int(a), int(b)) for a, b in zip(v.length, v.code, strict=True)}) == 501
-
-
-def test_lm_tables_grow_with_the_training_tokens(spark):
-    """Tables and head have no largest size: ten times the tokens give about ten times the slots."""
-    small, large = (lm_score.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.full(4, n), 1, 0) for n in (50_000_000, 500_000_000))
-    assert all(5 * a <= b <= 20 * a for a, b in zip(small.sizes, large.sizes, strict=True))
-    assert int(large.bases[-1]) == sum(large.sizes)
-    many = lm_score.train(_docs(spark, ["b a c " * 5, "a b " * 4] * 20)).vocabulary.value
-    assert len(many.keys) == 3 and many.sizes == lm_score.SMALLEST
-
-
-def test_lm_gates_and_least_sizes(monkeypatch):
-    """Depths to 31 and bits of a byte to 7 have gates of their own, and the tables are not under their earlier sizes."""
-    monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1 << 60,) * 3)
-    v = lm_score.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.array([1 << 60, 1 << 40, 1 << 34, 1]), 1, 0)
-    text = np.frombuffer("word \x01\x02".encode(), np.uint8)
-    b = lm_score.Bits(v, text, np.array([0, len(text)]))
-    # The escape's path is the longest.
-    assert set(range(32)) <= set(b.gate.tolist()) and {32 + 8 * j + 7 for j in (0, 1)} <= set(b.gate.tolist()) and 2 * b.gate.max() + 1 < lm_score.GATES
-    assert all(a >= b for a, b in zip(lm_score.sizes(0), (1 << 20, 1 << 21, 1 << 21), strict=True))
-
-
-def test_lm_weights_are_fitted_on_all_texts(spark, monkeypatch):
-    """Every bit of every training text is fitted on, once, also beyond the first hundreds of documents."""
-    texts = [f"common words {k} here" for k in range(700)]
-    train = [k for k in range(700) if zlib.crc32(str(k).encode()) % 7 != 2]
-    seen = []
-    monkeypatch.setattr(lm_score, "averaged", lambda fits, own=lm_score.averaged: seen.extend(fits) or own(fits))
-    v = lm_score.train(_docs(spark, texts).repartition(3)).vocabulary.value
-    data = np.frombuffer("".join(texts[k] for k in train).encode(), np.uint8)
-    bits = lm_score.Bits(v, data, np.cumsum([0, *(len(texts[k]) for k in train)]))
-    assert len(train) > 500 and sum(int(n.sum()) for _, n in seen) == len(bits.bit)
-    a, b = np.ones((lm_score.GATES, lm_score.CONTEXTS + 1)), np.zeros(lm_score.GATES, np.int64)
-    b[5] = 3
-    assert np.allclose(lm_score.averaged([(a, b), (5 * a, 3 * b)])[5], 4) and (lm_score.averaged([(a, b)])[6] == lm_score.start_weights()[6]).all()
-
-
-def test_lm_counts_meet_whole(spark, monkeypatch):
-    """The sparse blocks of all tasks add up to the counts of the texts, also above the range of one and two bytes."""
-    monkeypatch.setattr(lm_score, "TOKENS_A_SLOT", (1, 1, 1))
-    monkeypatch.setattr(lm_score, "SMALLEST", (lm_score.BLOCK,) * 3)
-    texts = ["a b a c d " * 12000, "x yy zzz " * 40, ""]
-    v = lm_score.Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64), 3, 60_120)
-    import pyarrow as pa
-    from types import SimpleNamespace
-
-    parts = [list(lm_score._tables(SimpleNamespace(value=v))([pa.RecordBatch.from_pydict({"text": t})])) for t in (texts, texts[:1])]
-    rows = pa.Table.from_batches([b for p in parts for b in p]).sort_by("block")
-    total = np.zeros((2, int(v.bases[-1])), np.int64)
-    for b in lm_score._add_blocks(rows.to_batches()):
-        k = b.column(0)[0].as_py()
-        total[:, k * lm_score.BLOCK : (k + 1) * lm_score.BLOCK] += np.frombuffer(b.column(1)[0].as_py(), np.uint32).reshape(2, -1)
-    want = np.zeros_like(total)
-    for t in (texts, texts[:1]):
-        for _, _, data, offsets in lm_score.kernel.chunks(pa.array(t)):
-            b = lm_score.Bits(v, data, offsets)
-            for x in b.slots:
-                np.add.at(want, (b.bit, x), 1)
-    assert (total == want).all() and want.max() > 1 << 16
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 
 
 def test_licenses(spark):
-    texts = ["This work is licensed under the Foo Bar License.", "He got a license to fish.", "x\nReleased under the MIT License.\ny", None, "", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."]
+    texts = ["This work is licensed under the Foo Bar License.", "He got a license to fish.", "x.\nReleased under the MIT License.\ny", None, "", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.", GPL, "SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0\nimport os",
+             "The driver must renew the license before the contract ends.", "MIT License", "BSD License\n\nCopyright", "The bartender needs a liquor license.", "license", " ".join(["word"] * 100_000), "Licensed under the MIT License. " + "word " * 50_000, "Released under the MIT License."]
     got = {r.doc_id: r for r in licenses.scanned(_docs(spark, texts, extra=True)).collect()}
-    assert [got[k].families for k in range(6)] == ["", "", "mit", "", "", "cc_by_nc"] and got[0].n_unknown == 1 and got[5].n_confirmed == 2
+    assert [got[k].families for k in range(len(texts))] == ["", "", "mit", "", "", "cc_by_nc", "gpl", "mit", "apache", "", "mit", "bsd", "", "", "", "mit", "mit"] and got[0].n_unknown == 1 and got[5].n_confirmed == 2
+    assert [got[k].n_licensed for k in (6, 7, 9, 10, 12, 13, 14)] == [1, 1, 0, 1, 0, 0, 0]
+    rows = spark.createDataFrame([(None, texts[2]), (None, texts[2]), (7, texts[2]), (7, texts[2])], "doc_id long, text string")
+    assert [r.families for r in licenses.scanned(rows).collect()] == ["mit"] * 4
+
+
+def test_quality_model_votes_as_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 60, 160)] + ["", None, "w1 " * 30_000]
+    docs = _docs(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(160)] * 2, "doc_id long, quality int")
+    twice = docs.unionByName(docs.limit(40)).unionByName(docs.limit(9).withColumn("text", F.lit("other text of a labelled id")))
+    model = quality_model.fit(twice, labels)
+    assert len(model.labels) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(160))
+    got = {r.doc_id: r.score for r in quality_model.scored(docs, model).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        _, term, weight = quality_model.terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        dense = np.zeros(quality_model.TERMS)
+        dense[term] = quality_model._weighted(np.zeros(len(term), np.int64), term, weight, 1, model.idf)
+        own = dense @ model.projection
+        cosines = model.vectors @ own / max(np.linalg.norm(own), 1e-9)
+        near = sorted(range(len(cosines)), key=lambda j: (-round(float(cosines[j]), 5), j))[: quality_model.NEIGHBOURS]
+        vote = np.maximum(cosines[near], 0) ** quality_model.POWER + 1e-6
+        assert got[k] == pytest.approx(float((vote * model.labels[near]).sum() / vote.sum()) if raw else model.prior, abs=0.02)
+    assert quality_model.nearest(np.array([[1.0, 3, 2, 2, 2]]), 2).tolist()[0] in ([1, 2], [2, 1])
+
+
+def test_windows_are_those_of_the_items(spark):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k % 9}" for k in range(40)), "a b", None, "", "a b", "w1 " * 13]
+    w = decontamination.Windows([5, 6, 7, 8, 9, 10], pa.array(texts, pa.large_string()), 13)
+    want = collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        own = (t or "").split()
+        for i in range(len(own) - min(13, len(own)) + 1) if own else ():
+            want[tuple(own[i : i + 13])].add(k)
+    names = {int(h): t for t, h in ((t, kernel.text_hashes([t])[0][0]) for t in {x for t in texts for x in (t or "").split()})}
+    got = {}
+    for k, (last, size) in enumerate(zip(w.last, w.sizes, strict=True)):
+        got[tuple(names[int(w.vocabulary[c - 1])] for c in w.symbols[last - size + 1 : last + 1])] = set(w.item_of[w.first[k] : w.first[k + 1]].tolist())
+    assert got == want
+
+
+def test_windows_take_bounded_memory():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    text = " ".join(map(str, rng.integers(0, 10**9, 100_000)))
+    w = decontamination.Windows([0], pa.array([text], pa.large_string()), 13)
+    assert w.table_bytes < 27 * 100_000
