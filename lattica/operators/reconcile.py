@@ -32,6 +32,12 @@ def kind(fused_rows: DataFrame) -> DataFrame:
     return fused_rows.withColumn("kind", F.when(p == "", "rule_only").when(r == "", "pdf_only").when(r == p, "same").otherwise("name_diff"))
 
 
+def match_counts(rules: DataFrame, found: DataFrame) -> DataFrame:
+    """How many rules have a found item, by code or name, and how many have none."""
+    hit = F.col("matched_by") != "none"
+    return matched(rules, found).agg(F.count(F.when(hit, 1)).alias("n_matched"), F.count(F.when(~hit, 1)).alias("n_unmatched"))
+
+
 def confidence(rule: Column, pdf: Column) -> Column:
     return F.when((rule > 0) & (pdf > 0), BASE * (rule + pdf) / 2).when(rule > 0, BASE * rule).when(pdf > 0, BASE * pdf * 0.8).otherwise(F.lit(BASE))
 

@@ -364,9 +364,9 @@ def _blocks(spark, d):
     return B.derived(W.blocks(spark, d))
 
 
-@_query("fn18_block_columns", f"{_B} SELECT task_id, page_num, block_num, 100.0::DOUBLE AS width, 10.0::DOUBLE AS height, (x0 + 50)::DOUBLE AS center_x, yc::DOUBLE AS center_y, is_bold, code AS occupation_code FROM blocks")
+@_query("fn18_block_columns", f"{_B} SELECT task_id, page_num, block_num, 100.0::DOUBLE AS width, 10.0::DOUBLE AS height, (x0 + 50)::DOUBLE AS center_x, yc::DOUBLE AS center_y, is_bold, is_italic, code AS occupation_code FROM blocks")
 def _(spark, d):
-    return _blocks(spark, d).select("task_id", "page_num", "block_num", "width", "height", "center_x", "center_y", "is_bold", "occupation_code")
+    return _blocks(spark, d).select("task_id", "page_num", "block_num", "width", "height", "center_x", "center_y", "is_bold", "is_italic", "occupation_code")
 
 
 @_query("jn08_code_name_match", f"""{_B}, o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY page_num, block_num) AS r, regexp_matches(text, '员|师|工|长|家|人员|技术|管理|操作|专员|主管') AND NOT regexp_matches(text, '^[0-9\\s.-]+$') AS named FROM blocks),
@@ -521,9 +521,9 @@ def _(spark, d):
     return M.batches(W.tasks(spark, d), "queue", "task_id", 10).groupBy("queue", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("flt14_routing", f"{_K} SELECT task_id FROM tasks WHERE size >= 200 AND priority IN ('urgent', 'high') AND queue = 'user'")
+@_query("flt14_routing", f"{_K} SELECT task_id FROM tasks WHERE size >= 200 AND priority IN ('urgent', 'high') AND queue = 'user' AND size < 900 AND task_id > 2000 AND created <= 500000")
 def _(spark, d):
-    return M.routed(W.tasks(spark, d), [("size", "gte", 200), ("priority", "in", ["urgent", "high"]), ("queue", "eq", "user")]).select("task_id")
+    return M.routed(W.tasks(spark, d), [("size", "gte", 200), ("priority", "in", ["urgent", "high"]), ("queue", "eq", "user"), ("size", "lt", 900), ("task_id", "gt", 2000), ("created", "lte", 500000)]).select("task_id")
 
 
 @_query("sm03_peak_overlap", f"""{_K}, m AS (SELECT queue AS kind, task_id AS moment, 1 AS d FROM tasks UNION ALL SELECT queue, task_id + size, -1 FROM tasks), s AS (SELECT kind, moment, sum(d) AS d FROM m GROUP BY ALL)

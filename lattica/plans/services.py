@@ -222,6 +222,13 @@ def _(spark, d):
     return D.file_errors(W.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("length")), 5000).select("doc_id", F.array_join("errors", ",").alias("error"))
 
 
+@_query("vd01_missing_files", "SELECT p_partkey AS name, CASE WHEN doc_id IS NULL THEN 'missing' WHEN n_chars > 5000 THEN 'too large' WHEN n_chars = 0 THEN 'empty' ELSE '' END AS error FROM part LEFT JOIN documents ON doc_id = p_partkey")
+def _(spark, d):
+    names = W.table(spark, d, "part").select(F.col("p_partkey").alias("name"))
+    files = W.table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.col("n_chars").alias("length"))
+    return D.file_errors(D.expected(names, files), 5000).select("name", F.array_join("errors", ",").alias("error"))
+
+
 @_query("vd06_images", "SELECT page_id AS doc, cast(k AS INTEGER) AS image_index, cast(k AS INTEGER) * 10 AS width FROM pages, range(2) r(k)")
 def _(spark, d):
     image = lambda k: F.struct(F.lit(10 * k).alias("width"))
@@ -515,11 +522,9 @@ def _(spark, d):
     return D.accessibility(D.structure(docs, entries)).join(whole, "doc").select("doc", "has_structure", F.array_join("issues", ",").alias("issues"), "is_complete")
 
 
-@_query("ag26_match_counts", f"{_P} SELECT count(f.code) AS n_matched, count(*) - count(f.code) AS n_unmatched FROM rules r LEFT JOIN found f USING (code)")
+@_query("ag26_match_counts", f"{_P} SELECT count(CASE WHEN hit THEN 1 END) AS n_matched, count(CASE WHEN NOT hit THEN 1 END) AS n_unmatched FROM (SELECT code IN (SELECT code FROM found) OR name IN (SELECT name FROM found) AS hit FROM rules)")
 def _(spark, d):
-    rules, found = W.rule_and_pdf(spark, d)
-    rows = rules.join(found.select("code", F.lit(1).alias("hit")), "code", "left")
-    return rows.agg(F.count("hit").alias("n_matched"), (F.count(F.lit(1)) - F.count("hit")).alias("n_unmatched"))
+    return R.match_counts(*W.rule_and_pdf(spark, d))
 
 
 @_query("ag27_graph_statistics", f"{_TAX} SELECT (SELECT count(*) FROM tax) AS n_nodes, cast((SELECT count(*) FROM tax WHERE parent <> '') AS BIGINT) AS n_edges, (SELECT max(n) FROM (SELECT count(*) AS n FROM tax WHERE parent <> '' GROUP BY parent)) AS max_degree, (SELECT count(*) FROM tax WHERE code NOT IN (SELECT parent FROM tax)) AS n_leaves, cast((SELECT count(*) FROM tax WHERE parent <> '') AS DOUBLE) / (SELECT count(*) FROM tax) AS avg_degree, cast((SELECT count(*) FROM tax WHERE parent <> '') AS DOUBLE) / ((SELECT count(*) FROM tax) * (SELECT count(*) - 1 FROM tax)::DOUBLE) AS density")

@@ -70,14 +70,14 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(k % 5 == 0, F.concat(code, F.lit(" x"))).when(k % 5 == 1, F.concat(F.lit("技术员"), k.cast("string"))).otherwise(F.col("line"))
     return lines.select(
         "task_id", "page_num", "block_num", content.alias("text"), ((k * 7) % 80).cast("double").alias("x0"), (F.floor(k / 2) * 12).cast("double").alias("y0"), ((k * 7) % 80 + 100).cast("double").alias("x1"), (F.floor(k / 2) * 12 + 10).cast("double").alias("y1"),
-        F.concat(F.lit("f"), (n % 3).cast("string")).alias("font"), (8 + n % 5).cast("double").alias("font_size"), F.when(k % 4 == 0, 16).otherwise(0).alias("flags"),
+        F.concat(F.lit("f"), (n % 3).cast("string")).alias("font"), (8 + n % 5).cast("double").alias("font_size"), (F.when(k % 4 == 0, 16).otherwise(0) + F.when(k % 6 == 1, 2).otherwise(0)).alias("flags"),
     )
 
 
 BLOCKS_SQL = r"""lines AS (SELECT source AS task_id, doc_id AS page_num, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_num FROM documents),
 b0 AS (SELECT *, length(line) AS n, block_num AS k FROM lines WHERE regexp_replace(line, '[ \t\n\f\r]', '', 'g') <> ''),
 blocks AS (SELECT task_id, page_num, block_num, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01 x' WHEN k % 5 = 1 THEN '技术员' || k ELSE line END AS text,
-  (k * 7) % 80 AS x0, (k // 2) * 12 AS y0, (k // 2) * 12 + 5 AS yc, 'f' || (n % 3) AS font, 8 + n % 5 AS font_size, k % 4 = 0 AS is_bold, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01' END AS code FROM b0)"""
+  (k * 7) % 80 AS x0, (k // 2) * 12 AS y0, (k // 2) * 12 + 5 AS yc, 'f' || (n % 3) AS font, 8 + n % 5 AS font_size, k % 4 = 0 AS is_bold, k % 6 = 1 AS is_italic, CASE WHEN k % 5 = 0 THEN '1-' || (n % 90 + 10) || '-0' || (k % 9) || '-01' END AS code FROM b0)"""
 
 
 def rule_and_pdf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
