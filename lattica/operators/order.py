@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,14 +14,16 @@ def numbered(rows: DataFrame, keys: list[str], order: Column, ties: list | tuple
     """Adds each row's place (from 1) among those of its keys, by a whole number and then ties.
 
     Rows are placed within ranges of width numbers, a task each, and shifted by the counts of the ranges before, so
-    one key's rows meet in no task; only a count for each range does. Keys and numbers are not null.
+    one key's rows meet in no task; only a count for each range does. A null key is a key, and null numbers come first.
     """
     ranged = rows.withColumn("_range", F.floor(order / F.lit(width)))
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_count"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*keys, "_range", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, *ties))
-    return ranged.withColumn("_place", place).join(shift, [*keys, "_range"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_range", "_place", "_shift")
+    own = [*keys, "_range"]
+    shift = counts.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(own)], F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(order, *ties))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(own)])
+    return ranged.withColumn("_place", place).join(shift, same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_place") + F.col("_shift")).alias(name))
 
 
 def framed(rows: DataFrame, before: int = 0, after: int = 0, name: str = "n", size: int = 1 << 12) -> DataFrame:
@@ -61,7 +64,7 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
             out = []
             for row in batch.itertuples(index=False):
                 own = getattr(row, key)
-                if not begun or own != at:
+                if not begun or not (own == at or (pd.isna(own) and pd.isna(at))):
                     at, state, begun = own, start(), True
                 out.append(step(state, row))
             yield batch.assign(**{n: [x[k] for x in out] for k, n in enumerate(names)})

@@ -15,12 +15,13 @@ from lattica.streaming import tasks as streams
 def _rows(spark, n=400):
     rng = random.Random(4)
     rows = [("hot" if k % 3 else f"k{k % 7}", k * 37 % 1009 * 5, rng.randrange(20)) for k in range(n)]
+    rows = [(None if k == "k5" else k, at, took) for k, at, took in rows]
     return rows, spark.createDataFrame(rows, "kind string, at long, took long")
 
 
 def _by_kind(rows):
     out = {}
-    for k, at, took in sorted(rows):
+    for k, at, took in sorted(rows, key=lambda r: (r[0] or "", *r[1:])):
         out.setdefault(k, []).append((at, took))
     return out
 
