@@ -11,7 +11,8 @@ Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. Sc
 
 Defined results: null and empty texts have no terms and get the share of label 1 among the labelled; with
 no usable label every score is 0.5; ids labelled more than once count as 1 if any label says so; repeated rows are scored each;
-an empty table gives an empty table; scored() passes extra columns on.
+an empty table gives an empty table; scored() passes extra columns on, and takes a free name for its own. Of documents
+that are equally near, those with the least ids vote. Texts of any length are read whole; memory follows one text.
 """
 
 from __future__ import annotations
@@ -87,6 +88,19 @@ def _weighted(doc, term, weight, n: int, idf: np.ndarray) -> np.ndarray:
     return w.astype(np.float32)
 
 
+def nearest(similar: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; of those that tie at the last place the first ones."""
+    m = similar.shape[1]
+    if k >= m:
+        return np.broadcast_to(np.arange(m), similar.shape)
+    top = np.argpartition(-similar, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(similar, top, 1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((similar >= last).sum(axis=1) > k):
+        above, ties = np.flatnonzero(similar[row] > last[row]), np.flatnonzero(similar[row] == last[row])
+        top[row] = np.concatenate([above, ties[: k - len(above)]])
+    return top
+
+
 class Model:
     """IDF, projection, and the labelled vectors."""
 
@@ -130,7 +144,7 @@ class Model:
             dense[doc[own] - a, term[own]] = w[own]
             some = bounds[a + 1 : b + 1] > bounds[a:b]
             near = self._unit(dense @ self.projection) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.broadcast_to(np.arange(k), (b - a, k))
+            top = nearest(near, k)
             vote = np.maximum(np.take_along_axis(near, top, 1), 0) ** POWER + 1e-6
             score = (vote * self.labels[top]).sum(axis=1) / vote.sum(axis=1)
             out[a:b] = np.where(some, score, self.prior)
@@ -154,18 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, target: st
     # Ids of documents that exist, before the sample is bounded; only ids are read here.
     chosen = chosen.join(docs.select(key.alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select(key.alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    # At most fit_rows ids; of a chosen id's rows one is kept, the one whose text has the least hash, before anything reaches the driver.
+    texts = docs.select(key.alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     got = texts.mapInArrow(_featurise, "doc_id long, quality int, terms array<int>, weights array<float>").toArrow().sort_by("doc_id")
     term, weight = got.column("terms").combine_chunks(), got.column("weights").combine_chunks()
-    # Repeated rows of a chosen id count once.
-    ids = got.column("doc_id").to_numpy()
-    keep = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else []
-    return Model([(np.array(term[int(k)].values), np.array(weight[int(k)].values)) for k in keep], np.array([got.column("quality")[int(k)].as_py() for k in keep], np.float32))
+    return Model([(np.array(t.values), np.array(w.values)) for t, w in zip(term, weight, strict=True)], np.array(got.column("quality").to_pylist(), np.float32))
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """docs with one more column: the score of the text."""
+    """docs with one more column, the score of the text; where docs has a column of that name, the new one gets underscores in front."""
     spark = docs.sparkSession
+    score = common.free_name(docs.columns, score)
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
