@@ -15,9 +15,13 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Links each larger neighbour of a node to the least of the node and its neighbours."""
+    """Links each larger neighbour of a node to the least of the node and its neighbours.
+
+    The least ones are written, so that the join's sides are shuffled apart: a node with very many neighbours is then
+    split by AQE's skew join, or the small side is broadcast by AQE's own check.
+    """
     near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = common.written(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 

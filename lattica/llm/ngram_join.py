@@ -285,7 +285,8 @@ def _labelled(docs: DataFrame, threshold: float, n: int, recall: float = TARGET_
     edges = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_bucket_edges(cutoff), "a long, b long")
 
     candidates = common.written(components(edges), "candidates")
-    sizes = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    # Written, as in components: a large group's rows are then dealt anew by AQE's skew join.
+    sizes = common.written(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "sizes")
     bloom = spark.sparkContext.broadcast(_bloom(candidates))
     sets = texts.select("text").mapInArrow(_sets(bloom, n), "node long, grams binary")
     members = candidates.join(sizes, "label")
@@ -296,7 +297,7 @@ def _labelled(docs: DataFrame, threshold: float, n: int, recall: float = TARGET_
     links = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
     labels = components(found.filter("b is not null").select("a", "b"))
     known = nodes.select("node", "n_copies", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.groupBy("label").agg(F.min("least").alias("class_id"))
+    least = common.written(known.groupBy("label").agg(F.min("least").alias("class_id")), "least")
     known = known.join(least, "label").join(links, "node", "left").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "label")
     alone = signed.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label"))
     return signed.filter(F.col("node").isNotNull()).select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "node", "n_copies", "n_links", "label").unionByName(alone)
