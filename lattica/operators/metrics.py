@@ -21,6 +21,7 @@ def sliding(log: DataFrame, size: int = 100) -> DataFrame:
     return O.over_frame(O.numbered(log, ["stage"], F.col("seq"), name="_n"), ["stage"], columns, before=size - 1, name="_n").drop("_n")
 
 
+#: Rates and seconds at which concurrency steps up or down, and its bounds.
 def next_concurrency(now: Column, success: Column, error: Column, seconds: Column, up: float = 0.95, down: float = 0.2, least: int = 1, most: int = 10) -> Column:
     return F.when((success >= up) & (seconds < 3), F.least(now + 1, F.lit(most))).when((error >= down) | (seconds > 8), F.greatest(now - 1, F.lit(least))).otherwise(now)
 
