@@ -12,32 +12,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SHIPPED: set[str] = set()
-
+from lattica.sources import folders
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "lattica-shared")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_SHIPPED: set[str] = set()
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
+    """A new folder's path below spark.checkpoint.dir; see lattica.sources.folders."""
+    return f"{folders.shared(spark)}/lattica-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it again with the known schema."""
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it again with the known schema; deleted when the session's process ends."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds this package to the Python path of the executors, once per application."""
+    """Adds this package to the Python path of the executors, once per application, and bounds Arrow batches by bytes where the session does not."""
+    if spark.conf.get(_BATCH_BYTES, None) in ("67108864b", "67108864"):  # Spark's own default
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

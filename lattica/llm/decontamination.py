@@ -27,7 +27,7 @@ from . import common, kernel
 from .fm_index import FMIndex
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
 
 
