@@ -66,8 +66,8 @@ class Template:
         values = {"{text}": text, "{role}": role}
         return [(self.escape(values[x]) if x in values else x, loss) for x, loss in parts or self.roles["other"]]
 
-    def read(self, formatted: str) -> list[tuple[str, str]]:
-        """(role, text) of each turn of a formatted text."""
+    def take(self, formatted: str) -> tuple[list[tuple[str, str]], str]:
+        """(role, text) of each whole turn from the beginning of a formatted text, and what is left behind them."""
         at, out = 0, []
         while at < len(formatted):
             for _, role, pattern in self._parse:
@@ -77,7 +77,14 @@ class Template:
                     at = m.end()
                     break
             else:
-                raise ValueError(f"no turn at {at}")
+                break
+        return out, formatted[at:]
+
+    def read(self, formatted: str) -> list[tuple[str, str]]:
+        """(role, text) of each turn of a formatted text."""
+        out, left = self.take(formatted)
+        if left:
+            raise ValueError(f"no turn at {len(formatted) - len(left)}")
         return out
 
 
@@ -110,13 +117,18 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digests(rows: DataFrame, template: Template | None = None) -> DataFrame:
-    """Reads formatted rows back, conversation by conversation; keeps formatted()'s order, so nothing is shuffled again."""
+    """Reads formatted rows back: a conversation's text as one, wherever rows end; keeps formatted()'s order, so nothing is shuffled again.
+
+    Turns are taken as soon as they are whole, so that a long conversation is not held; text that is no turn raises.
+    """
     template = template or Template()
 
     def run(batches):
         names, conv, state = [x.split()[0] for x in DIGEST.split(", ")], None, None
 
         def done(s):
+            if s["left"]:
+                raise ValueError(f"conversation {conv} ends in what is no turn: {s['left'][:50]!r}")
             return (conv, s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"], s["problem"] is None, s["problem"])
 
         for batch in batches:
@@ -125,9 +137,10 @@ def digests(rows: DataFrame, template: Template | None = None) -> DataFrame:
                 if state is None or c != conv:
                     if state is not None:
                         out.append(done(state))
-                    conv, state = c, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "problem": None}
+                    conv, state = c, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "problem": None, "left": ""}
                 whole = "".join(x["text"] for x in segments)
-                for role, text in template.read(whole):
+                turns, state["left"] = template.take(state["left"] + whole)
+                for role, text in turns:
                     state["turns"].update(f"{role}\n{text}\n".encode())
                     state["n"] += 1
                 for x in segments:
