@@ -30,6 +30,12 @@ PHRASES = [
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "uses cookies",
     "accept cookies", "enable javascript", "subscribe to our newsletter", "sign up for our", "click here", "read more", "log in",
     "sign in", "share this", "back to top", "skip to content", "follow us on", "powered by",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "newsletter abonnieren", "hier klicken", "mehr erfahren", "nach oben",
+    "zum inhalt springen", "verwendet cookies", "folgen sie uns", "jetzt anmelden",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "cliquez ici", "lire la suite", "retour en haut",
+    "aller au contenu", "utilise des cookies", "suivez nous", "se connecter",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "haga clic aquí", "leer más", "volver arriba",
+    "ir al contenido", "utiliza cookies", "síguenos en", "iniciar sesión",
 ]
 _table = lambda chars: np.isin(np.arange(256), [ord(c) for c in chars])
 SYMBOLS, NAV, ENDS, INNER = _table("#*$%&|<>"), _table("|>"), _table(".!?:;\"')]"), _table(".!?;:,")
