@@ -28,9 +28,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
+    deleted_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that exists deleted when the driver's process ends, on whatever store it is."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
