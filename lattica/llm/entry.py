@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, lm_score, ngram_join, packing, periodic_runs, quality_model, quality_rules, token_counts, token_files, warc
+from . import chat, decontamination, lexical_search, licenses, lm_score, ngram_join, packing, periodic_runs, quality_model, quality_rules, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_packing": packing.op10_packing,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_warc": warc.op13_warc,
 }
-ORACLE_SQL = {"op2_license_scan": licenses.oracle_sql(), "op3_chat_format": chat.OP3_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op13_warc": warc.OP13_SQL}
+ORACLE_SQL = {"op2_license_scan": licenses.oracle_sql(), "op3_chat_format": chat.OP3_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_quality_rules": quality_rules.OP9_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_warc": warc.OP13_SQL}
