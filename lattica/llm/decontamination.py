@@ -3,14 +3,15 @@
 A task cuts its documents into shards, indexes each shard's words and searches all benchmark windows in
 it; nothing is shuffled. The index holds words of the benchmark's vocabulary; any run of other words is
 one separator, as no window can cross it. Windows travel to the tasks in blocks of at most about BLOCK_BYTES of
-benchmark text (or one longer item); a larger benchmark takes several passes whose spans are merged by row.
+benchmark text (or one longer item). A shard is indexed once, whatever the number of blocks: a task loads them one after
+the other and holds one at a time, and a document's spans and items are those of all blocks together.
 
 Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts have no words; an item without words has no windows; an item with a
 null id marks words but is not listed; items of the same id count once; repeated documents are judged
 each; an empty benchmark marks nothing; decontaminated() passes extra columns on. A text of any length is one piece
-of a shard; a task's memory follows a shard of SHARD_WORDS words or one longer text.
+of a shard; a task's memory follows a shard of SHARD_WORDS words or one longer text, and a block.
 """
 
 from __future__ import annotations
@@ -69,44 +70,96 @@ class Windows:
         self.ids = ids
         self.table_bytes = sum(x.nbytes for x in (self.vocabulary, self.symbols, self.last, self.sizes, self.item_of, self.first))
 
-    def find(self, hashes: np.ndarray, doc: np.ndarray, n: int):
-        """(hit flag of each word, item numbers of each document) for the words of one shard."""
-        hit, found = np.zeros(len(hashes), bool), [()] * n
-        if not len(hashes) or not len(self.last):
-            return hit, found
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == hashes
-        symbol = np.where(known, at + 1, 0)
-        border = np.append(doc[1:] != doc[:-1], True)
+
+class Shard:
+    """The FM-index of one shard's words, and what the blocks searched so far have hit in it."""
+
+    def __init__(self, hashes: np.ndarray, doc: np.ndarray, n: int, blocks: Blocks):
+        self.doc, self.n_docs = doc, n
+        self.cover = np.zeros(len(hashes) + 1, np.int64)
+        self.found: list[set] = [set() for _ in range(n)]
+        words, symbol = np.unique(hashes, return_inverse=True)
+        known = np.zeros(len(words), bool)
+        for w in blocks:
+            known |= _within(words, w.vocabulary)
+        self.vocabulary = words[known]
+        number = np.zeros(len(words), np.int32)
+        number[known] = np.arange(1, len(self.vocabulary) + 1)
+        symbol = number[symbol]
+        solid = symbol > 0
         # Known words, and one separator after each run of them.
-        closes = known & (border | ~np.append(known[1:], False))
-        word = np.flatnonzero(known)
-        spot = np.arange(len(word)) + np.concatenate([[0], np.cumsum(closes[word])])[:-1]
-        if not len(word):
-            return hit, found
-        seq = np.zeros(int(spot[-1]) + 2, np.int32)
-        origin = np.full(len(seq), -1, np.int64)
-        seq[spot], origin[spot] = symbol[word], word
-        index = FMIndex(seq, len(self.vocabulary))
-        lo, hi = index.search(self.symbols, self.last, self.sizes)
-        some = np.flatnonzero(hi > lo)
+        closes = solid & (np.append(doc[1:] != doc[:-1], True)[: len(doc)] | ~np.append(solid[1:], False)[: len(doc)])
+        word = np.flatnonzero(solid)
+        self.index = None
+        if len(word):
+            spot = np.arange(len(word)) + np.concatenate([[0], np.cumsum(closes[word])])[:-1]
+            seq = np.zeros(int(spot[-1]) + 2, np.int32)
+            self.origin = np.full(len(seq), -1, np.int64)
+            seq[spot], self.origin[spot] = symbol[word], word
+            self.index = FMIndex(seq, len(self.vocabulary))
+            for w in reversed(blocks):
+                self._search(w)
+
+    def _search(self, w: Windows) -> None:
+        at = np.searchsorted(self.vocabulary, w.vocabulary)
+        at[at == len(self.vocabulary)] = 0
+        symbols = np.where(self.vocabulary[at] == w.vocabulary, at + 1, 0)[w.symbols - 1]
+        # A window with a word that the shard lacks is not in it.
+        lacks = np.concatenate([[0], np.cumsum(symbols == 0)])
+        some = np.flatnonzero(lacks[w.last + 1] == lacks[w.last + 1 - w.sizes.astype(np.int64)])
+        lo, hi = self.index.search(symbols, w.last[some], w.sizes[some])
+        times = hi - lo
+        some, lo, times = some[times > 0], lo[times > 0], times[times > 0]
         if not len(some):
-            return hit, found
-        times = (hi - lo)[some]
+            return
         ends = np.cumsum(times)
         which = np.repeat(some, times)
-        begin = origin[index.locate(np.repeat(lo[some] - (ends - times), times) + np.arange(ends[-1]))]
-        cover = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + self.sizes[which], -1)
-        hit = np.cumsum(cover[:-1]) > 0
-        pairs = np.unique(doc[begin] * len(self.last) + which)
-        owner, which = pairs // len(self.last), pairs % len(self.last)
-        for d in np.unique(owner):
+        begin = self.origin[self.index.locate(np.repeat(lo - (ends - times), times) + np.arange(ends[-1]))]
+        np.add.at(self.cover, begin, 1)
+        np.add.at(self.cover, begin + w.sizes[which], -1)
+        pairs = np.unique(self.doc[begin] * len(w.last) + which)
+        owner, which = pairs // len(w.last), pairs % len(w.last)
+        for d in np.unique(owner).tolist():
             own = which[np.searchsorted(owner, d) : np.searchsorted(owner, d, side="right")]
-            found[d] = np.unique(np.concatenate([self.item_of[self.first[w] : self.first[w + 1]] for w in own]))
-        return hit, found
+            items = np.unique(np.concatenate([w.item_of[w.first[x] : w.first[x + 1]] for x in own]))
+            self.found[d].update(w.ids[k] for k in items.tolist() if w.ids[k] is not None)
+
+    def hit(self) -> np.ndarray:
+        """A flag for each word."""
+        return np.cumsum(self.cover[:-1]) > 0
+
+
+def _within(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Which words are in the sorted vocabulary."""
+    if not len(vocabulary):
+        return np.zeros(len(words), bool)
+    at = np.searchsorted(vocabulary, words)
+    at[at == len(vocabulary)] = 0
+    return vocabulary[at] == words
+
+
+class Blocks:
+    """The blocks' windows, broadcast each; a process holds the one that it loaded last."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+
+    def _load(self, k: int) -> Windows:
+        if getattr(self, "at", None) != k:
+            self.held = None
+            self.held, self.at = self.sent[k].value, k
+            if len(self.sent) > 1:
+                vars(self.sent[k]).pop("_value", None)  # a worker's broadcast keeps its value else
+        return self.held
+
+    def __iter__(self):
+        return map(self._load, range(len(self.sent)))
+
+    def __reversed__(self):
+        return map(self._load, reversed(range(len(self.sent))))
+
+    def __reduce__(self):
+        return Blocks, (self.sent,)
 
 
 def _shards(batches, column: int):
@@ -136,84 +189,55 @@ def _spans(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarra
     return out
 
 
-def _search(windows, column: int, emit, batches):
-    w = windows.value
+def _search(blocks: Blocks, column: int, emit, batches):
     for held in _shards(batches, column):
         shift = np.cumsum([0, *(len(x[0]) for x in held)])
         doc = np.concatenate([x[3] + s for x, s in zip(held, shift, strict=False)])
-        hit, found = w.find(np.concatenate([x[4] for x in held]), doc, int(shift[-1]))
-        spans = _spans(hit, np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), doc, int(shift[-1]))
+        shard = Shard(np.concatenate([x[4] for x in held]), doc, int(shift[-1]), blocks)
+        spans = _spans(shard.hit(), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), doc, int(shift[-1]))
         total = kernel.counts(doc, int(shift[-1]))
         for (part, *_), s in zip(held, shift, strict=False):
             e = s + len(part)
-            yield emit(w, part, total[s:e], spans[s:e], found[s:e])
+            yield emit(part, total[s:e], spans[s:e], shard.found[s:e])
 
 
 _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
-HITS = "row long, doc_id long, n_words long, spans array<struct<first: long, end: long, words: long>>, items array<long>"
+HITS = "doc_id long, n_words long, spans array<struct<first: long, end: long, words: long>>, items array<long>"
 
 
-def _hits(w: Windows, part: pa.RecordBatch, total, spans, found) -> pa.RecordBatch:
-    items = [sorted({w.ids[k] for k in x if w.ids[k] is not None}) for x in found]
+def _hits(part: pa.RecordBatch, total, spans, found) -> pa.RecordBatch:
     dicts = [[{"first": a, "end": b, "words": k} for a, b, k in x] for x in spans]
-    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total), pa.array(dicts, _SPAN), pa.array(items, pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "spans", "items"])
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(total), pa.array(dicts, _SPAN), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
 
 
-def _merge(batches):
-    """Spans of all passes as one pass would have them: runs of hit words that overlap or follow each other are one."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        for x in rows:
-            many, text = [s for spans in x.pop("many") for s in spans], x.pop("text")
-            spans: list[dict] = []
-            if many:
-                body = np.frombuffer(text.encode(), np.uint8)
-                starts, _, _ = kernel.runs(kernel.ALNUM[body], np.array([0, len(body)]))
-                first, end = (np.searchsorted(starts, [s[k] for s in many]).tolist() for k in ("first", "end"))
-                last = -1
-                for a, b, s in sorted(zip(first, end, many, strict=True), key=lambda y: y[:2]):
-                    if a > last:
-                        spans.append({"first": s["first"], "end": s["end"], "words": b - a})
-                    elif b > last:
-                        spans[-1]["end"], spans[-1]["words"] = s["end"], spans[-1]["words"] + b - last
-                    last = max(last, b)
-            x["spans"], x["items"] = spans, sorted({i for items in x["items"] for i in items})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.int64()))]))
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The benchmark's rows in parts of about block_bytes of text at most."""
+def parts(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The benchmark's rows in parts of about block_bytes of text at most; several are dealt once, so that each is read alone."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_of().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
-
-
-def _windows(spark: SparkSession, block: DataFrame, window: int):
-    table = block.orderBy("item_id", "text").toArrow()
-    windows = Windows(table.column(0).to_pylist(), kernel.as_array(table.column(1)), window)
-    del table
-    kernel.release()
-    return spark.sparkContext.broadcast(windows)
+    if n == 1:
+        return [items]
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    dealt = common.written(dealt.repartition("block").sortWithinPartitions("block"), "benchmark-blocks")
+    return [dealt.filter(F.col("block") == k).drop("block") for k in range(n)]
 
 
-def _hits_of(rows: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
-    """HITS of rows (row, doc_id, text) by the items of all parts; a row number belongs to one row."""
-    passes = [rows.mapInArrow(partial(_search, _windows(rows.sparkSession, b, window), 2, _hits), HITS) for b in parts]
-    if len(passes) == 1:
-        return passes[0]
-    both = passes[0]
-    for x in passes[1:]:
-        both = both.unionByName(x)
-    many = both.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("many"), F.collect_list("items").alias("items"))
-    return many.join(rows.select("row", "text"), "row").select("row", "doc_id", "n_words", "many", "items", "text").mapInArrow(_merge, HITS)
+def _sent(benchmark: DataFrame, window: int, block_bytes: int) -> Blocks:
+    """Builds and broadcasts the blocks one by one."""
+    sent = []
+    for part in parts(benchmark, block_bytes):
+        table = part.orderBy("item_id", "text").toArrow()
+        sent.append(benchmark.sparkSession.sparkContext.broadcast(Windows(table.column(0).to_pylist(), kernel.as_array(table.column(1)), window)))
+        del table
+        kernel.release()
+    return Blocks(sent)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row, doc_id, n_words, spans (merged removal spans: bytes of the text and number of words), items."""
+    """doc_id, n_words, spans (merged removal spans: bytes of the text and number of words), items; a row for each of docs."""
     common.ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    return _hits_of(rows, blocks(benchmark, block_bytes), window)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    return rows.mapInArrow(partial(_search, _sent(benchmark, window, block_bytes), 1, _hits), HITS)
 
 
 def contaminated(n_hit, n_words):
@@ -236,37 +260,18 @@ def _judged(part: pa.RecordBatch, at: int, total: np.ndarray, spans: list[list[t
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without contaminated documents; with cut, these stay without their removal spans instead.
-
-    A document is judged, and cut, once, by the spans of all items: those of several passes are merged by row first.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
+    """docs without contaminated documents; with cut, these stay without their removal spans instead."""
+    common.ship(docs.sparkSession)
     at = docs.columns.index("text")
-    parts = blocks(benchmark, block_bytes)
-    if len(parts) == 1:
-        return common.map_rows(docs, partial(_search, _windows(spark, parts[0], window), at, lambda w, part, total, spans, found: _judged(part, at, total, spans, cut)))
-    # Written once, so that each pass and the join see the same row numbers.
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    numbered = common.written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select("row", F.lit(None).cast("long").alias("doc_id"), common.text_of(names[at]).alias("text"))
-    found = _hits_of(rows, parts, window).select("row", "n_words", "spans")
-
-    def judge(batches):
-        for batch in batches:
-            spans = [[(s["first"], s["end"], s["words"]) for s in x] for x in batch.column(len(names) + 1).to_pylist()]
-            yield _judged(batch.select(names), at, batch.column(len(names)).to_numpy(), spans, cut)
-
-    joined = numbered.join(found, "row").select(*names, "n_words", "spans")
-    return joined.mapInArrow(judge, numbered.select(*names).schema).toDF(*docs.columns)
+    return common.map_rows(docs, partial(_search, _sent(benchmark, window, block_bytes), at, lambda part, total, spans, found: _judged(part, at, total, spans, cut)))
 
 
 def _digest(batches):
     for batch in batches:
-        spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         n_hit = [sum(s["words"] for s in x) for x in spans]
         sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def test_decontaminated_judges_by_all_passes(spark):
     texts.append(texts[0])
     docs = _docs(spark, texts, extra=True)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([first, second, *([f"u{j}x{k}" for k in range(13)] for j in range(6))])], "item_id long, text string")
-    parts = [{r.item_id for r in b.collect()} for b in decontamination.blocks(bench, 60)]
+    parts = [{r.item_id for r in b.collect()} for b in decontamination.parts(bench, 60)]
     assert not any({0, 1} <= p for p in parts)
     for cut in (False, True):
         one, many = (decontamination.decontaminated(docs, bench, cut=cut, block_bytes=b) for b in (1 << 20, 60))
@@ -237,6 +237,21 @@ def test_decontaminated_judges_by_all_passes(spark):
     assert spans[0] == spans[1]
 
 
+def test_hits_of_inputs_in_any_order(spark):
+    """Several blocks give the spans of one, wherever the rows are dealt."""
+    texts = [t for t in _texts() if len(t or "") < 3000]
+    docs = _docs(spark, texts * 3, extra=True)
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(50, "a b"), (None, "c d e")], "item_id long, text string")
+    small = sum(len((t or "").encode()) for t in texts) // 4
+    seen = lambda d, b: sorted(str((r.doc_id, r.n_words, r.spans, r.items)) for r in decontamination.hits(d, bench, block_bytes=b).collect())
+    want = seen(docs, 1 << 25)
+    assert len(decontamination.parts(bench, small)) >= 4 and any("Row(" in x for x in want)
+    for dealt in (docs.repartition(5), docs.orderBy(F.rand()), docs.repartition(3).filter("doc_id >= 0"), docs.repartition(7, "doc_id")):
+        assert seen(dealt, small) == want
+    kept = [sorted(r.doc_id for r in decontamination.decontaminated(docs.repartition(5), bench, block_bytes=b).collect()) for b in (1 << 25, small)]
+    assert kept[0] == kept[1]
+
+
 GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 
 
