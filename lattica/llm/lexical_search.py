@@ -5,7 +5,8 @@ doc_id, and writes one row for each term with its postings (gaps of document num
 of seven bits each), and one row, without a term, with the shard's ids and lengths. Nothing is shuffled. Counts of
 the corpus are sums over these rows.
 
-search() joins the terms of all queries to the index, so only their postings move, once, by shard and block of queries. A
+search() joins the terms of all queries to the index, so only their postings move, once, by shard and block of queries; terms are
+broadcast if their measured size is at most BROADCAST_BYTES, else both sides are shuffled by term. A
 shard's queries are then answered document by document: a heap over the cursors of a query's posting lists gives the
 next document, whose terms are summed up and offered to a heap of the k best, keyed by score, then doc_id. Lists whose
 greatest gains together can't lift a document over the k-th best are left out of the heap and only looked up, which
@@ -34,6 +35,7 @@ from . import common, kernel
 
 SHARD_TERMS = 2_000_000
 QUERY_BLOCK = 1024  # queries that a task answers at once
+BROADCAST_BYTES = 8 << 20  # of query terms and their uses; larger tables of terms are joined by a shuffle
 K = 10
 SCHEMA = "shard long, term string, df long, n_terms long, postings binary"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -235,19 +237,20 @@ def query_terms(items: DataFrame) -> DataFrame:
     return rows.groupBy("query", "item_id", "term").agg(F.count("*").alias("times"))
 
 
-def search(postings: DataFrame, items: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(postings: DataFrame, items: DataFrame, k: int = K, query_block: int = QUERY_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query, item_id, rank, doc_id, score: the k best documents of each query."""
     spark = postings.sparkSession
     common.ship(spark)
     heads, lists = postings.filter("term IS NULL"), postings.filter("term IS NOT NULL")
     n, length = heads.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     terms = common.written(query_terms(items), "query-terms")
-    blocks = max(1, -(-terms.select("query").distinct().count() // query_block))
-    df = lists.select("term", "df").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("all"))
+    size, n_queries = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)), F.count_distinct("query")).first()
+    blocks, small = max(1, -(-n_queries // query_block)), F.broadcast if size <= broadcast_bytes else lambda table: table
+    df = lists.select("term", "df").join(small(terms.select("term").distinct()), "term").groupBy("term").agg(F.sum("df").alias("all"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n + 2) / (2 * F.col("all") + 1))).cast("long")
     uses = terms.groupBy("term", F.pmod("query", F.lit(blocks).cast("long")).alias("block")).agg(F.collect_list(F.struct("query", "item_id", "times")).alias("uses"))
     wanted = uses.join(df, "term").select("term", "block", weight.alias("weight"), "uses")
-    needed = lists.join(wanted, "term").select("shard", "block", "df", "weight", "uses", "postings")
+    needed = lists.join(small(wanted), "term").select("shard", "block", "df", "weight", "uses", "postings")
     own = heads.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "df", F.lit(None).cast("long").alias("weight"), F.lit(None).cast(needed.schema["uses"].dataType).alias("uses"), "postings")
     found = needed.unionByName(own).groupBy("shard", "block").applyInArrow(_answers(k, (n, length)), "query long, item_id long, doc_id long, score long")
     order = Window.partitionBy("query", "item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

@@ -73,7 +73,7 @@ def test_search_as_plain(spark, shard_terms, block):
     from lattica.llm import common
 
     postings = common.written(lexical_search.index(docs, shard_terms), "test-postings")
-    got = lexical_search.search(postings, bench, query_block=block)
+    got = lexical_search.search(postings, bench, query_block=block, broadcast_bytes=lexical_search.BROADCAST_BYTES if block > 2 else 0)
     plain = _plain(rows, items)
     assert sorted(str((r.item_id, r["rank"], r.doc_id, r.score)) for r in got.collect()) == plain and len(plain) > 120
     assert lexical_search.search(postings, bench.limit(0)).count() == 0
