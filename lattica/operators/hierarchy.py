@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import codes
 from lattica.operators import order as O
+from lattica.sources import folders
 
 
 def first_wins(rows: DataFrame, key: str = "code", order: str = "seq") -> DataFrame:
@@ -33,9 +34,10 @@ def ancestors(rows: DataFrame) -> DataFrame:
 def built(rows: DataFrame, orphans: str = "root") -> DataFrame:
     """code, name, level, tree_parent, is_orphan of the first row of each code.
 
-    A code whose parent is missing becomes a root, or goes with all below it (orphans="drop").
+    A code whose parent is missing becomes a root, or goes with all below it (orphans="drop"). The first rows are written once, and
+    the tree too, as what follows reads it several times.
     """
-    own = first_wins(rows).withColumn("code_parent", codes.parent_code(F.col("code")))
+    own = folders.written(first_wins(rows).withColumn("code_parent", codes.parent_code(F.col("code"))), "first-rows")
     known = own.select(F.col("code").alias("code_parent"), F.lit(True).alias("_known"))
     out = own.join(known, "code_parent", "left").withColumn("is_orphan", (F.col("code_parent") != "") & F.col("_known").isNull())
     out = out.withColumn("tree_parent", F.when(F.col("is_orphan"), "").otherwise(F.col("code_parent")))
@@ -43,7 +45,7 @@ def built(rows: DataFrame, orphans: str = "root") -> DataFrame:
         bad = out.filter("is_orphan").select(F.col("code").alias("ancestor"))
         lost = ancestors(out).join(bad, "ancestor", "left_semi").select("code").unionByName(bad.withColumnRenamed("ancestor", "code"))
         out = out.join(lost, "code", "left_anti")
-    return out.select("code", "name", codes.level_of(F.col("code")).alias("level"), "tree_parent", "is_orphan")
+    return folders.written(out.select("code", "name", codes.level_of(F.col("code")).alias("level"), "tree_parent", "is_orphan"), "tree")
 
 
 def with_depth(tree: DataFrame) -> DataFrame:
@@ -60,8 +62,8 @@ def with_depth(tree: DataFrame) -> DataFrame:
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """Rows with their root; sorted by (root_code, code) they are in depth-first order."""
-    return with_depth(tree).orderBy("root_code", "code")
+    """Rows with their root, depth and pos, the place (from 1) in depth-first order; placed by ranges, not sorted as a whole."""
+    return O.running(with_depth(tree), [], ["root_code", "code"], F.lit(1), "_before").withColumn("pos", F.col("_before") + 1).drop("_before")
 
 
 def statistics(tree: DataFrame) -> DataFrame:

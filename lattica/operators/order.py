@@ -9,6 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.sources import folders
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "before") -> DataFrame:
+    """Adds the sum of value over the rows of the same keys that come before, by columns of any type.
+
+    Rows are dealt by ranges of keys and order together, so that a hot key is many tasks; a range's rows are summed up by themselves
+    and shifted by the sums of the key's ranges before. Null keys are a key; rows that tie in order are in no fixed order.
+    The rows with their ranges are written once, as ranges are drawn anew in each run.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_value", value).repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    dealt = folders.written(dealt, "ranges")
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
+    shift = sums.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(before(Window.partitionBy(*keys).orderBy("_part"))), F.lit(0)).alias("_shift"))
+    own = dealt.withColumn("_own", F.coalesce(F.sum("_value").over(before(Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order]))), F.lit(0)))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_of"))
+    return own.join(shift, same).select(*rows.columns, (F.col("_own") + F.col("_shift")).alias(name))
+
 
 def numbered(rows: DataFrame, keys: list[str], order: Column, ties: list | tuple = (), name: str = "n", width: int = 1 << 16) -> DataFrame:
     """Adds each row's place (from 1) among those of its keys, by a whole number and then ties.

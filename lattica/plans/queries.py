@@ -55,9 +55,9 @@ def _(spark, d):
     return H.statistics(_tree(spark, d))
 
 
-@_query("hr02_flatten_preorder", f"{_DEPTH} SELECT code, root_code, cast(depth AS INTEGER) AS depth FROM depths")
+@_query("hr02_flatten_preorder", f"{_DEPTH} SELECT code, root_code, cast(depth AS INTEGER) AS depth, row_number() OVER (ORDER BY root_code, code) AS pos FROM depths")
 def _(spark, d):
-    return H.preorder(_tree(spark, d)).select("code", "root_code", "depth")
+    return H.preorder(_tree(spark, d)).select("code", "root_code", "depth", "pos")
 
 
 @_query("hr03_find_descendants", f"{_TAX} SELECT code, name FROM tax WHERE code = '2-11' OR starts_with(code, '2-11-')")

@@ -30,7 +30,7 @@ def test_build_complex(spark):
     tree = hierarchy.built(_codes(spark, COMPLEX))
     s = hierarchy.statistics(tree).first()
     assert (s.n_nodes, s.max_depth, s.n_roots, s.n_level_0, s.n_level_1, s.n_level_2, s.n_level_3) == (10, 4, 2, 2, 3, 3, 2)
-    assert [r.code for r in hierarchy.preorder(tree).collect()] == sorted(COMPLEX)
+    assert [r.code for r in hierarchy.preorder(tree).orderBy("pos").collect()] == sorted(COMPLEX)
     assert {r.code: r.n_children for r in hierarchy.children_count(tree).collect()}["1"] == 2
     assert {r.code: r.n_descendants for r in hierarchy.descendants_count(tree).collect()} == {"1": 6, "1-01": 4, "1-01-01": 2, "2": 2, "2-01": 1}
     assert {r.code for r in hierarchy.leaves(tree).collect()} == {"1-01-01-01", "1-01-01-02", "1-01-02", "1-02", "2-01-01"}
