@@ -12,14 +12,13 @@ coded by its share of the text so far, and what a path leaves open below TOP bit
 words after the last of the TOPICS most frequent words (grouped by what follows them, so that languages part).
 
 Everything else that the corpus has is counted whole and joined: words beyond the head are coded by the number
-of training texts that have them (those that no other text has are spelled, bit by bit, by the mixer; the few of them
-that a bitmap of words of several texts has by chance, by a fixed code of bytes), and
+of training texts that have them, and those that no other text has are spelled, bit by bit, by the mixer, whatever their number;
 phrases (runs of words cut where a word's hash says so) are mixed with the words' own probability by the number
 of other training texts with the same phrase. A training text's own share is left out of these counts, so that
 a text is only known by others. All parts are sub-probabilities of one code, so bits_per_byte follows.
 
 What travels to all tasks has a fixed size: HEAD words, SLOTS counts, HOT words and phrases that most texts have,
-and bitmaps of words and phrases of several texts. Word and phrase counts grow with the input and are joined by hash partition;
+and a bitmap of phrases of several texts, which only spares look-ups. Word and phrase counts grow with the input and are joined by hash partition;
 the HOT ones are looked up where they are met, so no key has many rows. Training texts are crc32(doc_id as text)
 mod 7 not 2. Tables and first weights come from one pass over all training texts: a task predicts each piece by
 what it has counted before, corrects its weights, then counts it; tasks' counts are summed and their mean weights
@@ -52,7 +51,7 @@ CONTEXTS, STEP, RATE = 3, 256, 0.01
 BLOCK = 1 << 13
 LOT = 1 << 15  # bits of a step of fitting
 PART = 128 << 10  # bytes of text handled at once
-BITMAP = 1 << 26  # bits of a map of words, or phrases, that several texts have
+BITMAP = 1 << 26  # bits of a map of phrases that several texts have; of a full one more rows are joined, no score changes
 _U = np.uint64
 _END, _ESCAPE = 0, 1  # leaves before those of the words
 _END_KEY = _U(1)
@@ -371,13 +370,6 @@ def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[spot >> 6] >> (spot & 63).astype(_U)) & _U(1) == 1
 
 
-def plain_cost(t: Tokens, tokens: np.ndarray) -> np.ndarray:
-    """Log probability (natural) of words by the code of their bytes alone."""
-    words = np.searchsorted(t.spot, tokens)
-    bits = np.concatenate([[0], np.cumsum(_BYTE_LENGTH[kernel.LOWER[t.data]])])
-    return -np.log(2) * (bits[t.ends[words]] - bits[t.starts[words]] + _BYTE_LENGTH[32])
-
-
 def spelled_blocks(t: Tokens, tokens: np.ndarray) -> Iterator[tuple[int, int, Spelled]]:
     """Words (by their tokens) in runs of about PART bytes, so that many or long ones don't meet at once."""
     words = np.searchsorted(t.spot, tokens)
@@ -606,11 +598,11 @@ def _add_packed(total: np.ndarray, at: bytes, low: bytes, more_at: bytes, more:
 _LEARNED = "block int, at binary, low binary, more_at binary, more binary"
 
 
-def _learn(vocabulary, bitmap):
+def _learn(vocabulary):
     """A task's counts by blocks, and its weights as block -1 (at: weights, low: bits of each gate)."""
 
     def run(batches):
-        v, several, fit = vocabulary.value, bitmap.value, Fit()
+        v, fit = vocabulary.value, Fit()
         after = np.zeros((TOPICS + 1) * len(v.share), np.int32)
         for batch in batches:
             for _, _, data, offsets, state, ends in pieces(batch.column(0)):
@@ -618,9 +610,9 @@ def _learn(vocabulary, bitmap):
                 b = Bits(v, t, state)
                 fit.add(b)
                 np.add.at(after, b.mark[t.new] * len(v.share) + b.leaf[t.new], np.int32(1))
-                # Words that no other text has show what new ones look like.
+                # Words beyond the head show what new ones look like.
                 first, _ = rare_words(t, b.leaf)
-                for _, _, s in spelled_blocks(t, first[t.new[first] & ~marked(several, t.key[first])]):
+                for _, _, s in spelled_blocks(t, first[t.new[first]]):
                     fit.add(s)
                 if state is not None:
                     t.carry(state, b)
@@ -697,9 +689,9 @@ def train(docs: DataFrame, head: int = HEAD) -> Scorer:
     hot = [table(counts.filter(k).orderBy(F.desc("m"), "key").limit(n)) for k, n in ((word, head + HOT), (phrase, HOT))]
     keep = v.find(hot[0][0].view(np.uint64)) == _ESCAPE
     hot[0] = [x[keep] for x in hot[0]]
-    bitmap, several = (_bloom(counts.filter(k).select(F.col("key").alias("node")), BITMAP) for k in (phrase, word & (F.col("d") > 1)))
-    shared, several = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(several)
-    learned = rows.filter("learned").select("text").mapInArrow(_learn(shared, several), _LEARNED)
+    bitmap = _bloom(counts.filter(phrase).select(F.col("key").alias("node")), BITMAP)
+    shared = spark.sparkContext.broadcast(v)
+    learned = rows.filter("learned").select("text").mapInArrow(_learn(shared), _LEARNED)
     learned = learned.repartition("block").sortWithinPartitions("block").mapInArrow(_add_learned, "block int, counts binary").toArrow()
     size = (TOPICS + 1) * len(v.share)
     n, weights = np.zeros(2 * SLOTS + size + -size % (2 * BLOCK), np.int64), start_weights()
@@ -717,7 +709,7 @@ def train(docs: DataFrame, head: int = HEAD) -> Scorer:
     again = float(np.clip(repeats / max(n_phrases + repeats, 1), 0.001, 0.3))
     model = spark.sparkContext.broadcast((Model(n0, n1, weights), tails, lookups, bitmap, known, again))
     return Scorer(
-        vocabulary=shared, several=several, model=model, counts=counts.filter(F.col("kind") != _TOTAL).select("kind", "key", "c", "d"), n_tokens=int(n_words) + n_docs, n_distinct=int(n_distinct) + (n_docs > 0),
+        vocabulary=shared, model=model, counts=counts.filter(F.col("kind") != _TOTAL).select("kind", "key", "c", "d"), n_tokens=int(n_words) + n_docs, n_distinct=int(n_distinct) + (n_docs > 0),
         d_rest=max(d_rest, 1), new=float((once + 1) / (once + 2 * twice + max(d_rest - once, 0) + 2)), n_phrases=max(int(n_phrases), 1), known=known,
     )
 
@@ -727,9 +719,9 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _NONE = -1  # a row that looks nothing up; its key spreads such rows
 
 
-def _score(vocabulary, words, model):
+def _score(vocabulary, model):
     def run(batches):
-        v, several, (m, (group, tails), hot, bitmap, known, again) = vocabulary.value, words.value, model.value
+        v, (m, (group, tails), hot, bitmap, known, again) = vocabulary.value, model.value
         rest = np.log(1 - known - again)
         for batch in batches:
             for a, b, data, offsets, state, ends in pieces(batch.column(3)):
@@ -755,8 +747,7 @@ def _score(vocabulary, words, model):
                 # Words beyond the head.
                 first, times = rare_words(t, leaf)
                 fresh = t.new[first]
-                spelled = np.where(fresh, plain_cost(t, first), 0.0)
-                mixed = np.flatnonzero(fresh & ~marked(several, t.key[first]))
+                spelled, mixed = np.zeros(len(first)), np.flatnonzero(fresh)
                 for at, end, s in spelled_blocks(t, first[mixed]):
                     spelled[mixed[at:end]] = m.spelled(s, end - at)
                 in_phrase = np.where(is_asked[t.phrase[first]], t.phrase[first] + base, -1)
@@ -792,7 +783,7 @@ def _score(vocabulary, words, model):
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """A row for each row of docs: held_out, token counts, base_score, score (log10), bits_per_byte of the text."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (~common.held_out("doc_id", 7, 2)).alias("learned"), common.text_of().alias("text"))
-    parts = rows.mapInArrow(_score(scorer.vocabulary, scorer.several, scorer.model), _ROW)
+    parts = rows.mapInArrow(_score(scorer.vocabulary, scorer.model), _ROW)
     joined = parts.join(scorer.counts, ["kind", "key"], "left")
     c, d = F.coalesce("c0", "c", F.lit(0)), F.coalesce("d0", "d", F.lit(0))
     # Of a phrase (n is -1) other training texts; of a word those too, or it is spelled.

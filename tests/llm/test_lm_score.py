@@ -52,7 +52,7 @@ def _spelled(model, word):
 
 def _plain(scorer, counts, text, learned):
     """The natural log probability of a text, bit by bit."""
-    v, several, (model, (group, tails), _, _, known, again) = scorer.vocabulary.value, scorer.several.value, scorer.model.value
+    v, (model, (group, tails), _, _, known, again) = scorer.vocabulary.value, scorer.model.value
     words = SOLID.findall((text or "").translate(LOW))
     keys = [int(x) for x in kernel.text_hashes([text or ""], kernel.NOT_SPACE)[0]] + [END]
     leaf_of = {int(k): n + 2 for n, k in enumerate(v.lookup.keys)}
@@ -102,8 +102,7 @@ def _plain(scorer, counts, text, learned):
         if d > 0:
             token_ln[i] += math.log(d * (1 - scorer.new) / scorer.d_rest)
         else:
-            mixed = not lm_score.marked(several, np.array([key], np.uint64))[0]
-            token_ln[i] += math.log(scorer.new) + (_spelled(model, word) if mixed else -math.log(2) * sum(int(lm_score._BYTE_LENGTH[c]) for c in word.encode() + b" "))
+            token_ln[i] += math.log(scorer.new) + _spelled(model, word)
     total, at, before = 0.0, 0, collections.Counter()
     tokens = lm_score.Tokens(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]), None, True)
     for n, (end, key) in enumerate(zip(tokens.phrase_end.tolist(), tokens.phrase_key.tolist(), strict=True)):
@@ -239,8 +238,7 @@ def test_counts_of_tasks_meet_whole():
         def __init__(self, value):
             self.value = value
 
-    none = Shared(np.zeros(lm_score.BITMAP >> 6, np.uint64))
-    parts = [list(lm_score._learn(Shared(v), none)([pa.RecordBatch.from_pydict({"text": t})])) for t in (texts, texts[:2])]
+    parts = [list(lm_score._learn(Shared(v))([pa.RecordBatch.from_pydict({"text": t})])) for t in (texts, texts[:2])]
     rows = pa.Table.from_batches([b for p in parts for b in p]).sort_by("block")
     total = {}
     for b in lm_score._add_learned(rows.to_batches()):
@@ -279,3 +277,16 @@ def test_what_is_joined_grows_and_what_travels_does_not(spark):
     assert large.counts.count() > 2 * small.counts.count()
     assert len(large.vocabulary.value.lookup.keys) == 50 and len(large.model.value[0].stretch) == len(small.model.value[0].stretch) == lm_score.SLOTS
     assert large.counts.filter(F.col("kind") == 1).count() == 0
+
+
+def test_a_full_bitmap_changes_no_score(spark):
+    """Of a map of phrases that says yes to all, only the look-ups grow."""
+    texts = [" ".join(f"w{(k * j) % 37}" for j in range(60)) + f" only{k} " + "one long phrase of several texts " * (k % 3) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = lm_score.train(docs, head=20)
+    scores = lambda: {r.doc_id: r.score for r in lm_score.scored(docs, scorer).collect()}
+    want = scores()
+    model, tails, lookups, bitmap, known, again = scorer.model.value
+    scorer.model = spark.sparkContext.broadcast((model, tails, lookups, np.full_like(bitmap, ~np.uint64(0)), known, again))
+    got = scores()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
