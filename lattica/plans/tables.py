@@ -1,13 +1,15 @@
-"""Queries over tables that Spark writes from the driver's tables first: sheets and committed versions."""
+"""Queries over tables that Spark writes from the driver's tables first: sheets, committed versions, and batches of streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators import tasks as K
 from lattica.plans import views as W
 from lattica.plans.queries import _query
 from lattica.sources import committed, folders, xlsx
+from lattica.streaming import states as S
 
 _V = f"WITH {W.VERSIONS_SQL}"
 
@@ -68,3 +70,22 @@ def _(spark, d):
     changes = committed.read(spark, path).filter("is_current AND task_id % 5 = 3 AND status = 'O'").select("task_id", "code", F.lit("done").alias("status"))
     committed.changed(spark, path, changes, ["status"], ["task_id", "code"])
     return committed.read(spark, path).select("task_id", "code", "status", "batch_id")
+
+
+def _legal(was: str, status: str) -> str:
+    return " OR ".join(f"({was} = '{old}' AND {status} IN ({', '.join(repr(x) for x in new)}))" for old, new in K.STEPS.items())
+
+
+@_query("sm04_stateful_steps", f"""WITH RECURSIVE o AS (SELECT user_id AS task_id, event_id AS seq, {list(K.STATES)!r}[event_id % 6 + 1] AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT task_id, r, seq, status, 'pending' AS was FROM o WHERE r = 1 UNION ALL SELECT o.task_id, o.r, o.seq, o.status, CASE WHEN {_legal("f.was", "f.status")} THEN f.status ELSE f.was END FROM f JOIN o ON o.task_id = f.task_id AND o.r = f.r + 1)
+SELECT seq, was, status, {_legal("was", "status")} AS legal FROM f""")
+def _(spark, d):
+    status = F.get(F.array(*map(F.lit, K.STATES)), (F.col("event_id") % 6).cast("int"))
+    changes = W.table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return S.in_batches(changes, "seq", 3, lambda stream: S.stepped(stream, "3650 days"), "steps").select("seq", "was", "status", "legal")
+
+
+@_query("wn10_streamed_100", f"WITH {W.LOG_SQL} SELECT seq, count(*) OVER w AS n_last, cast(sum(duration) OVER w AS BIGINT) AS sum_last, cast(sum(ok::INT) OVER w AS BIGINT) AS ok_last FROM log WINDOW w AS (PARTITION BY stage ORDER BY seq ROWS 99 PRECEDING)")
+def _(spark, d):
+    log = W.log(spark, d).select("stage", "seq", "duration", "ok")
+    return S.in_batches(log, "seq", 3, S.last_requests, "last").select("seq", "n_last", "sum_last", "ok_last")
