@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import deque
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
 from lattica.operators import order as O
+from lattica.sources import folders
 
 #: States, the steps between them, states that end, and seconds of keys, runs and waits.
 STATES = ("pending", "queued", "running", "completed", "failed", "cancelled")
@@ -92,16 +96,61 @@ def granted(requests: DataFrame, limits: dict[str, int], default: int = 1) -> Da
     return O.folded(requests, "kind", ["begin", "end"], list, step, "granted boolean")
 
 
-def arrival_windows(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests (kind, at in seconds) with the window they fall into: it begins with the first request after the last one's end."""
+def arrival_windows(requests: DataFrame, seconds: int = 60, width: int = 1024) -> DataFrame:
+    """Requests (kind, at in whole seconds) with the window they fall into: it begins with the first request after the last one's end.
 
-    def step(state, row):
-        if state[0] is None or row.at - state[0] >= seconds:
-            state[0], state[1] = row.at, 0
-        state[1] += 1
-        return state[0], state[1]
+    Adds window_start and n_in_window (the request's place in it; requests of one second are in no fixed order). A null kind is a
+    kind; a request without a time is in no window: both are null.
 
-    return O.folded(requests, "kind", ["at"], lambda: [None, 0], step, "window_start long, n_in_window long")
+    A kind's seconds are cut into ranges of width windows' length. Each range tells, by itself, in which window it ends for each
+    second at which a first window may begin in it (those of one window's length, at most); one row a range is then handed on from range to
+    range, and all ranges place their seconds. So no task sees the requests of a kind, only the seconds of one range of it.
+    """
+    names, long = requests.columns, width * seconds
+    timed = requests.filter(F.col("at").isNotNull()).withColumn("_tie", F.monotonically_increasing_id())
+    placed = O.running(timed, ["kind"], ["at", "_tie"], F.lit(1).cast("long"), "_place")
+    moments = folders.written(placed.groupBy("kind", "at").agg(F.min("_place").alias("_first")).withColumn("_range", F.floor(F.col("at") / long)), "moments")
+
+    def ends(at: np.ndarray) -> np.ndarray:
+        """For each second, the last start of the windows that begin with it."""
+        after, out = np.searchsorted(at, at + seconds).tolist(), at.tolist()
+        for k in range(len(at) - 1, -1, -1):
+            if after[k] < len(at):
+                out[k] = out[after[k]]
+        return np.array(out, np.int64)
+
+    def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(rows["at"].to_numpy(np.int64))
+        most = int(np.searchsorted(at, key[1] * long + seconds)) + 1
+        return pd.DataFrame({"kind": [key[0]], "_range": [key[1]], "enter_at": [at[:most].tolist()], "leave_at": [ends(at)[:most].tolist()]})
+
+    def hand_on(last, row):
+        before = last[0]
+        k = 0 if before is None else bisect_left(row.enter_at, before + seconds)
+        if k < len(row.enter_at):
+            last[0] = row.leave_at[k]
+        return (before,)
+
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        at, start = rows["at"].to_numpy(np.int64), rows["_before"].iloc[0]
+        out, k = np.empty(len(at), np.int64), 0
+        while k < len(at):
+            start = at[k] if pd.isna(start) or at[k] >= start + seconds else start
+            end = int(np.searchsorted(at, start + seconds))
+            out[k:end], k = start, end
+        return rows.assign(window_start=out)[["kind", "at", "_first", "window_start"]]
+
+    kind = f"kind {requests.schema['kind'].dataType.simpleString()}"
+    ranges = moments.groupBy("kind", "_range").applyInPandas(table, f"{kind}, _range long, enter_at array<long>, leave_at array<long>")
+    begun = O.folded(ranges, "kind", ["_range"], lambda: [None], hand_on, "_before long").select(F.col("kind").alias("_kind"), F.col("_range").alias("_of"), "_before")
+    met = moments.join(begun, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("_range") == F.col("_of"))).select("kind", "at", "_first", "_range", "_before")
+    own = folders.written(met.groupBy("kind", "_range").applyInPandas(place, f"{kind}, at long, _first long, window_start long"), "windows")
+    starts = own.filter("at = window_start").select(F.col("kind").alias("_kind"), F.col("at").alias("_start"), F.col("_first").alias("_zero"))
+    windows = own.join(starts, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("window_start") == F.col("_start"))).select(F.col("kind").alias("_own"), F.col("at").alias("_at"), "window_start", "_zero")
+    out = placed.join(windows, F.col("kind").eqNullSafe(F.col("_own")) & (F.col("at") == F.col("_at")))
+    untimed = requests.filter(F.col("at").isNull()).select(*names, F.lit(None).cast("long").alias("window_start"), F.lit(None).cast("long").alias("n_in_window"))
+    return out.select(*names, "window_start", (F.col("_place") - F.col("_zero") + 1).alias("n_in_window")).unionByName(untimed)
 
 
 def bounded_queue(arrivals: DataFrame, capacity: int = EVENTS) -> DataFrame:

@@ -73,6 +73,23 @@ def test_permits_windows_and_bounded_queue(spark):
     assert tasks.granted(spans.limit(0), {}).count() == 0
 
 
+def test_arrival_windows_of_any_range(spark):
+    """A kind's windows are those of a walk, however its seconds are cut; null times are in none."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "rare"]), at) for at in (rng.randrange(-500, 4000) for _ in range(900))] + [("hot", 50_000 + k // 40) for k in range(300)] + [("hot", None), (None, None)]
+    want, state = [], {}
+    for kind, at in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        start, n = state.get(kind, (None, 0))
+        state[kind] = (at, 1) if start is None or at - start >= 30 else (start, n + 1)
+        want.append((kind, at, *state[kind]))
+    table = spark.createDataFrame(rows, "kind string, at long").repartition(5)
+    for width in (1, 7, 1024):
+        got = [tuple(r) for r in tasks.arrival_windows(table, 30, width).collect()]
+        assert sorted(map(str, (g for g in got if g[1] is not None))) == sorted(map(str, want))
+        assert sorted(map(str, (g for g in got if g[1] is None))) == ["('hot', None, None, None)", "(None, None, None, None)"]
+    assert tasks.arrival_windows(table.limit(0), 30).count() == 0
+
+
 def test_states_and_events(spark):
     rows = spark.createDataFrame([(1, 0, "queued", None), (1, 1, "running", None), (1, 2, "failed", "no"), (2, 0, "running", None), (2, 1, "completed", None)], "task_id int, seq int, status string, error string")
     assert {(r.task_id, r.seq): r.legal for r in tasks.walked(rows).collect()} == {(1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False, (2, 1): True}
