@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
+from lattica.sources import folders
 
 ITEM = "map<string,string>"
 MOST_ITEMS = 500  # fixed values: items kept of an answer; confidence where none is given, and of a default result
@@ -59,6 +63,14 @@ def alternative(chosen_from: Column, rule: Column, found: Column) -> Column:
     return F.when(chosen_from == "rule", found).otherwise(rule)
 
 
+def first_items(rows: DataFrame, key: str, order: list[str], item: str, most: int = MOST_ITEMS) -> DataFrame:
+    """key, items: the first most items of each key, which are chosen before any are gathered."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = rows.withColumn("_k", place).filter(F.col("_k") <= most)
+    gathered = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(item).alias("item"))), lambda a, b: a["_k"] - b["_k"]).alias("_all"))
+    return gathered.select(key, F.transform("_all", lambda x: x["item"]).alias("items"))
+
+
 def default_result(rule: Column, found: Column) -> Column:
     return F.struct(rule.alias("name"), F.lit(DEFAULT_CONFIDENCE).alias("confidence"), found.alias("alternative"))
 
@@ -106,6 +118,88 @@ def answered(prompts: DataFrame, client: Callable[[str], str], tries: int = 3, w
     return prompts.join(once.mapInPandas(run, "prompt string, answer string, error string"), "prompt", "left")
 
 
+def call_key(prompt: Column) -> Column:
+    """What a prompt's answer is kept under."""
+    return F.sha2(prompt.cast("binary"), 256)
+
+
+def _stored(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _kept(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """key, answer of the table of gathered answers, or of the objects of calls since."""
+    store, root = _stored(path)
+    if store.get_file_info(f"{root}/{part}").type != fs.FileType.Directory:
+        return spark.createDataFrame([], "key string, answer string")
+    rows = spark.read.schema("key string, answer string")
+    rows = rows.parquet(f"{path}/{part}") if part == "answers" else rows.option("recursiveFileLookup", "true").json(f"{path}/{part}")
+    return rows.groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame:
+    """key, answer of all calls that are kept below path: those that were gathered, and those of runs that did not end."""
+    both = _kept(spark, path, "answers").unionByName(_kept(spark, path, "calls"))
+    return both.groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def answered_once(prompts: DataFrame, client: Callable[[str], str], path: str, tasks: int = 8, per_minute: float | None = None, tries: int = 3, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """As answered(), but a call that has ended is kept below path, and never made again: not by a task that is tried again, nor by another run.
+
+    Prompts with an answer are taken out before any call by an anti-join. Each other call is written under its prompt's key as soon as it
+    ends, and looked for before it is made. When all have ended they are gathered into one table. per_minute is shared by
+    tasks, each of which leaves as long between two calls as its share asks for. Failed calls are not kept.
+    """
+    spark = prompts.sparkSession
+    gap = 0.0 if per_minute is None else 60.0 * tasks / per_minute
+    once = prompts.select("prompt").filter("prompt is not null").distinct().withColumn("key", call_key(F.col("prompt")))
+
+    def call(prompt: str) -> tuple[str | None, str | None]:
+        for k in range(1, tries + 1):
+            try:
+                return client(prompt), None
+            except Exception as e:
+                error = str(e)
+                if k < tries:
+                    wait(min(k * k, 30))
+        return None, error
+
+    def run(batches: Iterator):
+        store, root = _stored(path)
+        free = clock()
+        for batch in batches:
+            got = []
+            for prompt, key in zip(batch["prompt"], batch["key"], strict=True):
+                name = f"{root}/calls/{key[:2]}/{key}.json"
+                if store.get_file_info(name).type == fs.FileType.File:
+                    with store.open_input_stream(name) as f:
+                        got.append((json.loads(f.read())["answer"], None))
+                    continue
+                if gap and (now := clock()) < free:
+                    wait(free - now)
+                free = clock() + gap
+                answer, error = call(prompt)
+                if error is None:
+                    store.create_dir(f"{root}/calls/{key[:2]}", recursive=True)
+                    part = f"{root}/calls/{key[:2]}/_{uuid.uuid4().hex}"  # readers pass over names that begin so
+                    with store.open_output_stream(part) as f:
+                        f.write(json.dumps({"key": key, "answer": answer}).encode())
+                    store.move(part, name)
+                got.append((answer, error))
+            yield batch[["key"]].assign(answer=[a for a, _ in got], error=[e for _, e in got])
+
+    before = kept_answers(spark, path)
+    new = once.join(before.select("key"), "key", "left_anti").repartition(tasks, "key").mapInPandas(run, "key string, answer string, error string")
+    new = folders.written(new, "answers")
+    store, root = _stored(path)
+    if store.get_file_info(f"{root}/calls").type == fs.FileType.Directory:
+        # All that runs have left, those that did not end too; a crash before the deletion leaves nothing to add next time.
+        _kept(spark, path, "calls").join(_kept(spark, path, "answers").select("key"), "key", "left_anti").write.mode("append").parquet(f"{path}/answers")
+        store.delete_dir(f"{root}/calls")
+    answers = kept_answers(spark, path).withColumn("error", F.lit(None).cast("string")).unionByName(new.filter("error IS NOT NULL"))
+    return prompts.withColumn("_key", call_key(F.col("prompt"))).join(answers.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+
 def occupation_codes(body: Column) -> Column:
     """array<struct(code, name, confidence)> of a service's reply; a missing confidence is CONFIDENCE."""
     found = F.from_json(body, "codes array<struct<code:string,name:string,confidence:double>>")["codes"]

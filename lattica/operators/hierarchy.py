@@ -213,10 +213,11 @@ def merged(left: DataFrame, right: DataFrame, how: str = "union", conflict: str
     return sides.withColumn("code", F.when(~F.col("_a").eqNullSafe(F.col("_b")), stop).otherwise(F.col("code"))).select(*[F.col(c) if c == "code" else F.col(f"_row.{c}") for c in left.columns])
 
 
-def in_prefixes(rows: DataFrame, depth: int = 2) -> DataFrame:
-    """prefix, items: the rows (code, name) below each prefix of depth parts, by code; depth bounds a group's size."""
-    groups = rows.groupBy(F.substring_index("code", "-", depth).alias("prefix")).agg(F.array_sort(F.collect_list(F.struct("code", "name"))).alias("items"))
-    return groups
+def in_prefixes(rows: DataFrame, depth: int = 2, size: int = 1000) -> DataFrame:
+    """prefix, part, items: the rows (code, name) below each prefix of depth parts, by code, in parts of at most size rows, numbered from 0."""
+    own = rows.select(F.substring_index("code", "-", depth).alias("prefix"), "code", "name")
+    placed = O.running(own, ["prefix"], ["code", "name"], F.lit(1), "_before")
+    return placed.groupBy("prefix", F.floor(F.col("_before") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("code", "name"))).alias("items"))
 
 
 def small_of_details(rows: DataFrame) -> DataFrame:

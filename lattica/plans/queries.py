@@ -85,17 +85,17 @@ def _(spark, d):
     return H.sorted_children(_tree(spark, d)).withColumn("children", F.array_join("children", ","))
 
 
-@_query("hr10_merge_first", f"{_TAX} SELECT code, name FROM tax WHERE parts <= 3 UNION ALL SELECT 'x' || code, name FROM tax WHERE parts = 2")
+@_query("hr10_merge_first", f"{_TAX} SELECT code, name FROM tax UNION ALL SELECT 'x' || code, name FROM tax WHERE parts = 2")
 def _(spark, d):
-    rows = W.tax(spark, d).filter(codes.dashes(F.col("code")) <= 2).select("code", "name")
+    rows = W.tax(spark, d).select("code", "name")
     other = rows.filter(codes.dashes(F.col("code")) == 1)
     other = other.unionByName(other.withColumn("code", F.concat(F.lit("x"), "code")))
     return H.merged(rows, other.withColumn("name", F.when(F.startswith("code", F.lit("x")), F.col("name")).otherwise("other")))
 
 
-@_query("hr10_merge_overwrite", f"{_TAX} SELECT code, CASE WHEN parts = 2 THEN 'other' ELSE name END AS name FROM tax WHERE parts <= 3")
+@_query("hr10_merge_overwrite", f"{_TAX} SELECT code, CASE WHEN parts = 2 THEN 'other' ELSE name END AS name FROM tax")
 def _(spark, d):
-    rows = W.tax(spark, d).filter(codes.dashes(F.col("code")) <= 2).select("code", "name")
+    rows = W.tax(spark, d).select("code", "name")
     return H.merged(rows, rows.filter(codes.dashes(F.col("code")) == 1).withColumn("name", F.lit("other")), conflict="overwrite")
 
 
@@ -549,10 +549,10 @@ def _(spark, d):
     return rows.select("seq", part.alias("found"), F.coalesce(F.get_json_object(part, "$[0].k"), F.get_json_object(part, "$.k")).cast("long").alias("k"))
 
 
-@_query("ag22_group_by_prefix", f"{_TAX} SELECT array_to_string(string_split(code, '-')[1:2], '-') AS prefix, count(*) AS n, string_agg(code || ' ' || name, ',' ORDER BY code) AS items FROM tax GROUP BY 1")
+@_query("ag22_group_by_prefix", f"{_TAX}, p AS (SELECT *, array_to_string(string_split(code, '-')[1:2], '-') AS prefix FROM tax), k AS (SELECT *, (row_number() OVER (PARTITION BY prefix ORDER BY code) - 1) // 1000 AS part FROM p) SELECT prefix, part, count(*) AS n, string_agg(code || ' ' || name, ',' ORDER BY code) AS items FROM k GROUP BY 1, 2")
 def _(spark, d):
     items = F.array_join(F.transform("items", lambda x: F.concat(x["code"], F.lit(" "), x["name"])), ",")
-    return H.in_prefixes(W.tax(spark, d)).select("prefix", F.size("items").cast("long").alias("n"), items.alias("items"))
+    return H.in_prefixes(W.tax(spark, d)).select("prefix", "part", F.size("items").cast("long").alias("n"), items.alias("items"))
 
 
 @_query("st06_except", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

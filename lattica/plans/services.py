@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lattica import registry
@@ -50,8 +48,9 @@ def _(spark, d):
 @_query("fn24_first_500", "SELECT c_nationkey, least(n, 500) AS n_kept, n AS n_all FROM (SELECT c_nationkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
 def _(spark, d):
     item = F.create_map(F.lit("code"), F.col("o_orderkey").cast("string"), F.lit("name"), F.col("o_orderpriority"))
-    rows = W.table(spark, d, "orders").join(W.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.collect_list(item).alias("items"))
-    return rows.select("c_nationkey", F.size(A.core_fields(A.valid_items(F.col("items")))).cast("long").alias("n_kept"), F.size("items").cast("long").alias("n_all"))
+    rows = W.table(spark, d, "orders").join(W.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", item.alias("item"))
+    kept = A.first_items(rows, "c_nationkey", ["o_orderkey"], "item").select("c_nationkey", F.size(A.core_fields(A.valid_items(F.col("items")))).cast("long").alias("n_kept"))
+    return kept.join(rows.groupBy("c_nationkey").agg(_N("n_all")), "c_nationkey")
 
 
 @_query("flt13_fn24_core_fields", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE 1 END AS n_core FROM part")
@@ -394,11 +393,11 @@ def _(spark, d):
     return G.children_of(own, relations, "P").select("parent_task_id", "child_task_id", "c_name")
 
 
-_E = "e AS (SELECT p_partkey AS src, p_partkey + k AS dst FROM part, unnest([1, 4]) AS u(k) WHERE p_partkey < 40)"
+_E = "e AS (SELECT p_partkey AS src, p_partkey + k AS dst FROM part, unnest([1, 4]) AS u(k))"
 
 
 def _edges(spark, d):
-    nodes = W.table(spark, d, "part").filter("p_partkey < 40")
+    nodes = W.table(spark, d, "part")
     return nodes.select(F.col("p_partkey").alias("src"), F.explode(F.array(F.col("p_partkey") + 1, F.col("p_partkey") + 4)).alias("dst"))
 
 
@@ -407,11 +406,11 @@ def _(spark, d):
     return G.path(_edges(spark, d), 11, 23)
 
 
-@_query("hr11_edge_changes", f"WITH {_E} SELECT src, dst FROM e WHERE dst - src = 4 UNION ALL SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey < 10 AND p_partkey <> 4")
+@_query("hr11_edge_changes", f"WITH {_E} SELECT src, dst FROM e WHERE dst - src = 4 UNION ALL SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey <> 4")
 def _(spark, d):
     edges = _edges(spark, d)
     kept = G.without_edges(edges, edges.filter("dst - src = 1"))
-    return G.with_edges(kept, W.table(spark, d, "part").filter("p_partkey < 10").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2).alias("dst")))
+    return G.with_edges(kept, W.table(spark, d, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") * 2).alias("dst")))
 
 
 @_query("ag19_totals", "SELECT cast(sum(p_size % 7) AS BIGINT) AS total_concurrency, sum(p_size * 0.25) AS total_rpm_share, count(CASE WHEN p_size % 7 > 4 THEN 1 END) AS n_over FROM (SELECT p_size::DOUBLE AS p_size FROM part)")
@@ -486,9 +485,10 @@ def _(spark, d):
 
 @_query("snk05_blocks_insert", f"{_B} SELECT task_id, page_num, block_num, md5(text) AS hash FROM blocks")
 def _(spark, d):
-    path = f"{folders.shared(spark)}/lattica-blocks-{uuid.uuid4().hex}"
+    path = folders.new(spark, "blocks")
     rows = _blocks(spark, d)
     sinks.appended(rows, path)
+    folders.deleted_at_exit(spark, path)
     return spark.read.schema(rows.schema).parquet(path).select("task_id", "page_num", "block_num", F.md5("text").alias("hash"))
 
 

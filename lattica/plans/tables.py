@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators import answers as A
 from lattica.operators import tasks as K
 from lattica.plans import views as W
 from lattica.plans.queries import _query
@@ -89,3 +90,17 @@ def _(spark, d):
 def _(spark, d):
     log = W.log(spark, d).select("stage", "seq", "duration", "ok")
     return S.in_batches(log, "seq", 3, S.last_requests, "last").select("seq", "n_last", "sum_last", "ok_last")
+
+
+def _never(prompt: str) -> str:
+    raise RuntimeError("a call that has ended is made again")
+
+
+@_query("ux01_kept_calls", "SELECT s_suppkey, upper(s_name) AS answer FROM supplier")
+def _(spark, d):
+    path = folders.new(spark, "calls")
+    prompts = W.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("prompt"))
+    A.answered_once(prompts.filter("s_suppkey % 2 = 0"), str.upper, path)
+    A.answered_once(prompts, str.upper, path)
+    folders.deleted_at_exit(spark, path)
+    return A.answered_once(prompts, _never, path).select("s_suppkey", "answer")

@@ -36,6 +36,12 @@ def deleted_at_exit(spark: SparkSession, path: str) -> None:
     store.deleteOnExit(own)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no folder."""
+    store, own = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(own)] if store.exists(own) else []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, with its schema; deleted when the driver's process ends."""
     path = new(df.sparkSession, name)

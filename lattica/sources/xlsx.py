@@ -269,6 +269,22 @@ def sheet_rows(spark: SparkSession, root: str, sheet: str | None = None, columns
 
     A task cuts a file into pieces of lot bytes with the shared strings of each; the pieces are dealt to all tasks and parsed there.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return _parsed_files(files, sheet, columns, lot)
+
+
+def arriving(spark: SparkSession, root: str, sheet: str | None = None, columns: list[str] | None = None, pattern: str = "*.xlsx", files_at_once: int = 100) -> DataFrame:
+    """A stream of the rows of files that are put below root, as sheet_rows() gives them.
+
+    Spark's log of files in the stream's checkpoint holds which have been read, so that a restart neither loses nor repeats one.
+    """
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = source.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_once).load(root)
+    return _parsed_files(files, sheet, columns, BLOCK)
+
+
+def _parsed_files(files: DataFrame, sheet: str | None, columns: list[str] | None, lot: int) -> DataFrame:
+    spark = files.sparkSession
     names = ["path", "row_idx", *(columns or ["cells"])]
     schema = ", ".join(["path string", "row_idx long", *([f"`{c}` string" for c in columns] if columns else ["cells array<string>"])])
     strings = re.compile(rb'<(?:\w+:)?c\s[^>]*t="s"[^>]*>\s*<(?:\w+:)?v>(\d+)<')
@@ -290,7 +306,6 @@ def sheet_rows(spark: SparkSession, root: str, sheet: str | None = None, columns
                 if own:
                     yield _arrow(x["path"], list(_filled(own, dict(x["shared"]))), names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     dealt = files.select("path", "content").mapInArrow(cut, "path string, before long, xml binary, shared map<long, string>")
     return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(parse, schema)
 
