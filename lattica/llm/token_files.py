@@ -5,7 +5,8 @@ shard), n_tokens, tokens. Ids are dictionary encoded, row groups and pages are k
 page indexes are written, so a reader that wants some documents or only the counts skips the rest.
 
 Defined results: null text encodes as empty (just the end id); equal doc_ids are ordered by a hash of
-the text; null doc_ids come first; an empty table gives an empty table; other columns are not read.
+the text; null doc_ids come first; an empty table gives an empty table; other columns are not read. A text of any length is one
+row, encoded whole, so a task's memory follows the longest text. The query's files go when the driver's process ends.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def checksums(batches):
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.new_path(spark, "tokens")
     write_tokens(common.read(spark, sf_dir, "documents"), out, tokens.public("byte_bpe_50k.json"))
+    common.deleted_at_exit(spark, out)
     rows = read_tokens(spark, out)
     digests = rows.mapInArrow(checksums, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return digests.join(shard_bases(rows), "shard").select("doc_id", (F.col("shard_base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
