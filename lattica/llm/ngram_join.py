@@ -17,6 +17,7 @@ included), n_links (other texts with a similarity of THRESHOLD or more).
 Defined results: null, empty and wordless texts are alone: no links, n_copies 1, class_id their doc_id; a
 null doc_id is passed on, and a class of null ids only has class_id null; repeated rows are copies; an empty table
 gives an empty table; extra columns are not read. Shingles and nodes are compared by 64-bit hashes.
+A text of any length is one row; a task's memory follows the longest text's distinct shingles.
 """
 
 from __future__ import annotations

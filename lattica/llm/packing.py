@@ -9,6 +9,8 @@ power of two.
 
 Defined results: null text is a document of the end id only; repeated rows are packed as often as they
 come; an empty table gives an empty table; extra columns are not read.
+A null doc_id is passed on, and its pieces are placed like any other's. A text of any length is encoded whole and cut
+into windows; a task's memory follows the longest text.
 """
 
 from __future__ import annotations

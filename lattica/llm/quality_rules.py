@@ -13,6 +13,7 @@ Base rules over the whole text (too few words, repeated 8-word windows) reject a
 
 Defined results: null text has no words and fails; very long texts are measured whole; repeated rows are
 judged each; an empty table gives an empty table; extra columns are passed on by cleaned().
+A null doc_id is passed on.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ are joined by shuffle, and none of those is frequent enough to be a hot key.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty
 table gives an empty table; extra columns are not read.
+A null doc_id is passed on. A text of any length is counted whole, piece by piece of its pre-tokens; a task's memory
+follows the longest text.
 """
 
 from __future__ import annotations
