@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,23 @@ def delete(spark: SparkSession, path: str) -> bool:
     return store.delete(own, True)
 
 
+def delete_all(spark: SparkSession, paths: Iterable[str], lanes: int = 32, lot: int = 1024) -> int:
+    """Deletes many objects, lanes of them at a time and a lot of paths in memory; how many of them there were.
+
+    Objects that are gone already count as deleted, so a run that broke off can be run again. All of a lot are tried; then the first
+    error of a store is raised.
+    """
+    n = 0
+    with ThreadPoolExecutor(lanes) as pool:
+        for some in batched(paths, lot):
+            calls = [pool.submit(delete, spark, path) for path in some]
+            errors = [e for e in (c.exception() for c in calls) if e is not None]
+            if errors:
+                raise errors[0]
+            n += sum(c.result() for c in calls)
+    return n
+
+
 def presigned(path: str, key: bytes, expires: int) -> str:
     """A link that holds until expires (seconds since 1970), signed by HMAC-SHA256."""
     return f"{path}?expires={expires}&signature={hmac.new(key, f'{path}:{expires}'.encode(), hashlib.sha256).hexdigest()}"

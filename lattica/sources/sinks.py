@@ -31,10 +31,9 @@ def json_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def without_objects(rows: DataFrame, tasks: DataFrame, column: str, key: str = "task_id") -> DataFrame:
-    """without_task(), and the objects that the rows taken out name in column are deleted; each is one call of the driver's store."""
+    """without_task(), and the objects that the rows taken out name in column are deleted, by calls of the driver's store, many at a time."""
     gone = rows.join(tasks.select(key).distinct(), key, "left_semi").filter(F.col(column).isNotNull()).select(column).distinct()
-    for row in gone.toLocalIterator():
-        objects.delete(rows.sparkSession, row[0])
+    objects.delete_all(rows.sparkSession, (row[0] for row in gone.toLocalIterator(prefetchPartitions=True)))
     return without_task(rows, tasks, key)
 
 

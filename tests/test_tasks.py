@@ -208,6 +208,18 @@ def test_objects_are_put_signed_and_deleted(spark, tmp_path):
     assert [r.task_id for r in sinks.without_objects(rows, rows.filter("task_id = 1").select("task_id"), "image").collect()] == [2] and not (tmp_path / "c").exists()
 
 
+def test_many_objects_are_deleted_in_lots(spark, tmp_path):
+    paths = [f"file://{tmp_path}/o{k}" for k in range(50)]
+    for path in paths:
+        objects.put(spark, path, b"x")
+    assert objects.delete_all(spark, iter([*paths, *paths[:5]]), lanes=4, lot=7) == 50 and not list(tmp_path.glob("o*"))
+    assert objects.delete_all(spark, []) == 0
+    objects.put(spark, paths[1], b"x")
+    with pytest.raises(Exception, match="nowhere"):
+        objects.delete_all(spark, ["nowhere://a/b", paths[1]])
+    assert not (tmp_path / "o1").exists()
+
+
 def test_queue_and_listeners(spark, tmp_path):
     rows = spark.createDataFrame([(1, "rule", "2024-01-01 00:00:00"), (2, "other", "2024-01-01 00:00:01"), (3, "rule", "2024-01-01 00:00:02")], "task_id int, kind string, created string").withColumn("created", F.col("created").cast("timestamp"))
     queued = tasks.enqueued(rows)
