@@ -9,7 +9,7 @@ from lattica.operators import answers as A
 from lattica.operators import tasks as K
 from lattica.plans import views as W
 from lattica.plans.queries import _query
-from lattica.sources import committed, folders, objects, sinks, xlsx
+from lattica.sources import committed, folders, sinks, xlsx
 from lattica.streaming import states as S
 
 _V = f"WITH {W.VERSIONS_SQL}"
@@ -116,19 +116,6 @@ def _(spark, d):
     return spark.read.schema("c_custkey long, task_id int").parquet(path).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
 
-@_query("snk10_objects_put", "SELECT 'nation' || n_nationkey || '.json' AS name, (n_nationkey % 3 <> 0) AS is_there, CASE WHEN n_nationkey % 3 <> 0 THEN md5(n_name) END AS hash FROM nation")
-def _(spark, d):
-    path, nations = folders.new(spark, "put"), W.table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 rows in any scale
-    for row in nations:
-        objects.put(spark, f"{path}/nation{row.n_nationkey}.json", b"first")
-        objects.put(spark, f"{path}/nation{row.n_nationkey}.json", row.n_name.encode())
-    folders.deleted_at_exit(spark, path)
-    objects.delete_all(spark, (f"{path}/nation{row.n_nationkey}.json" for row in nations if row.n_nationkey % 3 == 0))
-    left = objects.content(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("md5").alias("hash"))
-    names = W.table(spark, d, "nation").select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string"), F.lit(".json")).alias("name"))
-    return names.join(left, "name", "left").select("name", F.col("hash").isNotNull().alias("is_there"), "hash")
-
-
 @_query("snk11_delivered", "SELECT listener, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, count(DISTINCT event_id % 4) AS n_batches FROM events, (VALUES ('steady'), ('late')) t(listener) GROUP BY ALL")
 def _(spark, d):
     path, events, failures = folders.new(spark, "delivered"), W.table(spark, d, "events").select("event_id", "event_type"), []
