@@ -1,6 +1,9 @@
 """License scans on sentences that are no templates: HELD and OTHER, whose misses were seen while the templates were extended,
 and BLIND and BLIND_OTHER, which were written before and looked at after."""
 
+import math
+
+import duckdb
 import pytest
 
 from lattica.llm import licenses
@@ -103,3 +106,41 @@ def test_sentences_are_no_templates():
 def test_recall_and_precision(spark, licensed, other):
     recall, precision, named = _figures(spark, licensed, other)
     assert recall >= 0.9 and precision >= 0.97 and named >= 0.75
+
+
+def _family(text):
+    """The class of a paragraph by plain sums over its n-grams; None if none."""
+    weights, bias, least = licenses.trained()
+    words = licenses._words(text)
+    z = [sum(v) / licenses.SCALE for v in zip(bias, *(weights[g] for g in {*licenses._grams(words, 1), *licenses._grams(words, 2)} if g in weights), strict=True)]
+    p = [math.exp(x - max(z)) for x in z]
+    p = dict(zip(licenses.CLASSES, (x / sum(p) for x in p), strict=True))
+    best = max((c for c in p if c not in ("unknown", licenses.NONE)), key=p.get)
+    return None if p[licenses.NONE] >= 0.5 else best if p[best] >= max(least, p["unknown"]) else "unknown"
+
+
+def test_paragraphs_without_an_anchor_are_judged(spark):
+    bare = [
+        "This library is free software under the LGPLv3.", "You may use this program under the AGPLv3.", "It is distributed under the terms of the LGPLv2.1.", "This code is relicensed under the terms of the project.",
+        "You may use, copy and modify this software for any purpose.", "Released under the MPLv2.", "All rights reserved.", "Dedicated to the public domain.", "The weather was fine.", "This is it.", "",
+    ]
+    whole = "This program is free software: you can use and modify it\nunder the terms of GPL3."
+    bare += [t for t in OTHER + BLIND_OTHER if not set(licenses.ANCHORS) & set(licenses._words(t))]
+    assert not set(licenses.ANCHORS) & {w for t in [*bare, whole] for w in licenses._words(t)}
+    rows = _judged(spark, [*bare, whole, "\n\n".join([bare[0], "Released under the MIT License.", bare[1], bare[8]])])
+    assert [r.n_unanchored for r in rows[: len(bare)]] == [int(_family(t) is not None) for t in bare] and [r.n_unanchored for r in rows[:5]] == [1] * 5
+    assert all((r.n_licensed, r.families) == (0, "") for r in rows[:-1])
+    assert (rows[-2].n_unanchored, rows[-2].unanchored_families) == (1, "gpl")
+    assert (rows[-1].n_licensed, rows[-1].families, rows[-1].n_unanchored) == (1, "mit", 2)
+
+
+def test_rows_are_those_of_the_sql(spark, tmp_path):
+    ends = ["", " ", "\n", "\u00a0", "\u00a0\n", "\u3000 \u2003", "\u2028", "\u200b", ".\u00a0", "\r\n\u00a0\n"]
+    texts = [a + t + b for t in ("MIT License", "License: GPLv3", "licences", "This library is free software under the LGPLv3.") for a in ends for b in ends] + ["\u00a0" * 5, None, "", "MIT\u00a0License", "\x01", "\x02mit license"]
+    spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = sorted(con.execute(licenses.oracle_sql()).fetchall(), key=key)
+    assert sorted(map(tuple, licenses.op2_license_scan(spark, str(tmp_path)).collect()), key=key) == want
+    assert sum(r[1] for r in want) > 100
